@@ -128,18 +128,26 @@ def display_name(c) -> Column:
 
 def agreement(left: Column, right: Column) -> Column:
     """Struct(deepest_shared, conflict): walk the ranks both name until one differs."""
-    deepest, conflict = F.lit("none"), F.lit(None).cast("string")
-    for letter, name in zip(RANKS, RANK_NAMES):
-        a, b = rank_value(left, letter), rank_value(right, letter)
-        na, nb = F.coalesce(norm_taxon(a), F.lit("")), F.coalesce(norm_taxon(b), F.lit(""))
-        both = (na != "") & (nb != "")
-        deepest = F.when(conflict.isNull() & both & (na == nb), F.lit(name)).otherwise(deepest)
-        conflict = F.when(conflict.isNull() & both & (na != nb), F.concat(F.lit(name + ":"), a, F.lit("!="), b)).otherwise(conflict)
-    known = (F.size(left) > 0) & (F.size(right) > 0)
-    return F.struct(
-        F.when(known, deepest).alias("deepest_shared"),
-        F.when(known, F.coalesce(conflict, F.lit("none"))).alias("conflict"),
+    ranks = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(name).alias("rank"), rank_value(left, r).alias("a"), rank_value(right, r).alias("b"))
+            for i, (r, name) in enumerate(zip(RANKS, RANK_NAMES))
+        ]
+    )
+    named = F.filter(
+        F.transform(ranks, lambda x: F.struct(x["i"].alias("i"), x["rank"].alias("rank"), x["a"].alias("a"), x["b"].alias("b"),
+                                              norm_taxon(x["a"]).alias("na"), norm_taxon(x["b"]).alias("nb"))),
+        lambda x: (x["na"] != "") & (x["nb"] != ""),
     )
+    walk = F.aggregate(
+        named,
+        F.struct(F.lit("none").alias("deepest"), F.lit("none").alias("conflict")),
+        lambda acc, x: F.when(acc["conflict"] != "none", acc)
+        .when(x["na"] == x["nb"], F.struct(x["rank"].alias("deepest"), F.lit("none").alias("conflict")))
+        .otherwise(F.struct(acc["deepest"].alias("deepest"), F.concat(x["rank"], F.lit(":"), x["a"], F.lit("!="), x["b"]).alias("conflict"))),
+    )
+    known = (F.size(left) > 0) & (F.size(right) > 0)
+    return F.when(known, F.struct(walk["deepest"].alias("deepest_shared"), walk["conflict"].alias("conflict")))
 
 
 def reference_header(c) -> Column:

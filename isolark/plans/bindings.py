@@ -69,6 +69,77 @@ VIEWS: dict[str, str] = {
                       cast(alnlen + 30 AS string), '1500', cast(query_coverage + 30 AS string), cast(query_coverage - 45 AS string)) END AS value
         FROM (SELECT *, query_no + ordinal AS n FROM {hits}) x""",
     "queries_all": "SELECT o_orderkey AS query_no, concat('Q', cast(o_orderkey AS string)) AS query, o_custkey AS cust FROM {orders}",
+    # --- identifiers as they appear in reference files: pipes, coordinates, fragments, brackets
+    "raw_ids": """
+        SELECT page_id, CASE page_id % 6
+                 WHEN 0 THEN concat('db|', url, '#fragment ', cast(page_id AS string), ' extra words')
+                 WHEN 1 THEN concat('read', cast(page_id AS string), ':100-', cast(100 + page_id AS string), '(+)')
+                 WHEN 2 THEN concat('(ASV_', cast(page_id AS string), ')')
+                 WHEN 3 THEN concat('gb|NR_', cast(page_id AS string), '.1|isolate_', cast(page_id AS string))
+                 WHEN 4 THEN concat('contig-', cast(page_id AS string), ':5-90  second token')
+                 ELSE concat('seq_', cast(page_id AS string), '_1') END AS raw_id
+        FROM {pages}""",
+    # --- reference headers: id, lineage, attributes
+    "ref_headers": """
+        SELECT p_partkey, CASE p_partkey % 9
+                 WHEN 0 THEN concat('T', cast(p_partkey AS string))
+                 WHEN 1 THEN concat('T', cast(p_partkey AS string), ' no lineage here')
+                 ELSE concat('T', cast(p_partkey AS string), ' d__Bacteria ; p__', p_brand, ' ;g__', p_type, ' [size=', cast(p_size AS string), '] [x=1]') END AS header
+        FROM {part}""",
+    # --- numbers and yes/no words as ledgers write them
+    "messy": """
+        SELECT event_id,
+               CASE event_id % 8 WHEN 0 THEN 'NA' WHEN 1 THEN '' WHEN 2 THEN ' None ' WHEN 3 THEN concat(' ', cast(event_id AS string), '.75 ')
+                    WHEN 4 THEN 'twelve' WHEN 5 THEN concat('-', cast(event_id AS string)) ELSE cast(event_id AS string) END AS raw,
+               CASE event_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'true' WHEN 3 THEN '0' WHEN 4 THEN 'maybe' ELSE '1' END AS flag
+        FROM {events}""",
+    # --- target list entries (region/nation terms, unranked names, a domain-only entry)
+    "target_entries": """
+        SELECT concat('W', lpad(cast(n_nationkey AS string), 3, '0')) AS target_id,
+               CASE n_nationkey % 5
+                 WHEN 0 THEN concat('d__Bacteria; p__', r_name, ' (including f__', n_name, ' and relatives)')
+                 WHEN 1 THEN concat('d__Bacteria; p__Other; f__', n_name)
+                 WHEN 2 THEN concat('g__BUILDING; s__building ', lower(n_name))
+                 WHEN 3 THEN concat('o__O', cast(n_nationkey % 6 AS string), ' (including MACHINERY, c__C', cast(n_nationkey % 4 AS string), ')')
+                 ELSE 'd__Archaea' END AS hierarchy,
+               CASE n_nationkey % 3 WHEN 0 THEN 'core' ELSE 'context' END AS target_role
+        FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
+    # --- one assessment row per isolate
+    "assessment": """
+        SELECT t.id, t.seq_no, t.dataset, t.taxonomy, t.nation_no,
+               CASE WHEN k % 13 = 0 THEN NULL ELSE round(86 + (k * 37 % 1400) / 100e0, 2) END AS classification_identity,
+               CASE WHEN k % 17 = 0 THEN NULL ELSE round(0.7 + (k * 11 % 30) / 100e0, 2) END AS classification_confidence,
+               CASE WHEN k % 19 = 0 THEN NULL ELSE round(76 + (k * 53 % 2400) / 100e0, 2) END AS classification_query_coverage,
+               CASE WHEN k % 23 = 0 THEN NULL ELSE round(92 + (k * 41 % 800) / 100e0, 2) END AS nearest_identity,
+               round(85 + (k * 29 % 1500) / 100e0, 2) AS nearest_query_coverage,
+               CASE WHEN k % 29 = 0 THEN NULL ELSE round(90 + (k * 43 % 1000) / 100e0, 2) END AS project_nearest_identity,
+               cast(k * 7 % 15 AS int) AS project_matches_ge_97,
+               CASE WHEN k % 31 = 0 THEN NULL ELSE round(93 + (k * 47 % 700) / 100e0, 2) END AS reference_nearest_identity,
+               CASE WHEN k % 4 = 0 THEN NULL ELSE concat('P', cast(k % 50 AS string)) END AS priority_hit,
+               CASE WHEN k % 4 = 0 OR k % 37 = 1 THEN NULL ELSE round(96.5 + (k * 59 % 350) / 100e0, 2) END AS priority_identity,
+               round(90 + (k * 31 % 1000) / 100e0, 2) AS priority_coverage,
+               CASE WHEN k % 8 = 1 THEN 'd__Bacteria;s__' WHEN k % 8 = 2 THEN 's__Else where' ELSE t.taxonomy END AS priority_taxonomy,
+               CASE WHEN k % 3 <> 0 THEN NULL ELSE concat('S', cast(k % 40 AS string)) END AS secondary_hit,
+               CASE WHEN k % 3 <> 0 THEN NULL ELSE round(96 + (k * 61 % 400) / 100e0, 2) END AS secondary_identity,
+               round(91 + (k * 17 % 900) / 100e0, 2) AS secondary_coverage,
+               t.taxonomy AS secondary_taxonomy,
+               CASE k % 16 WHEN 3 THEN 'CHIMERA; LOW_CONFIDENCE' WHEN 5 THEN 'low_confidence' WHEN 7 THEN 'NOVEL_BUT_ASSIGNED;marker_qc_failed'
+                    WHEN 9 THEN 'LOW_NEAREST_IDENTITY' ELSE '' END AS placement_flags,
+               coalesce(l.selected, false) AS selected, coalesce(l.available, false) AS available,
+               CASE WHEN nation_no % 3 = 0 THEN 2 + nation_no % 4 ELSE 0 END AS priority_count,
+               CASE WHEN nation_no % 3 = 1 THEN 1 + nation_no % 3 ELSE 0 END AS secondary_count,
+               cast(k % 3 AS int) AS selected_count, cast(k % 2 AS int) AS pending_count,
+               CASE k % 9 WHEN 0 THEN 'NOVEL TO BOTH BASELINES' WHEN 1 THEN 'PRIORITY GAP / SECONDARY COVERED' WHEN 2 THEN 'PRIORITY COVERED'
+                    WHEN 3 THEN 'CULTURED BASELINE REDUNDANT' WHEN 4 THEN 'NO CULTURED BASELINE AVAILABLE' ELSE '' END AS evidence_class,
+               round((k * 67 % 1000) / 1000e0, 4) AS isolation,
+               CASE k % 6 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' ELSE 'LOW' END AS rarity_strength,
+               round((k * 71 % 10000) / 100e0, 2) AS rarity_score,
+               CASE k % 10 WHEN 0 THEN 'species' WHEN 1 THEN 'genus' WHEN 2 THEN 'order' WHEN 3 THEN 'phylum' END AS target_rank,
+               round((k * 73 % 9000) / 100e0, 2) AS target_score,
+               round((k * 79 % 10000) / 100e0, 2) AS novelty_score,
+               cast(k * 3 % 9 AS int) AS matches_ge_99, cast(k * 5 % 14 AS int) AS matches_ge_97,
+               CASE WHEN k % 27 = 0 THEN NULL ELSE round(94 + (k * 83 % 600) / 100e0, 2) END AS nearest_genome_identity
+        FROM (SELECT *, seq_no AS k FROM {taxa}) t LEFT JOIN {ledger} l ON l.id = t.id""",
     # --- partner ledger flags per isolate
     "ledger": """
         SELECT concat('C', cast(c_custkey AS string)) AS id, concat('partner', cast(c_nationkey % 9 AS string)) AS partner_id,

@@ -36,15 +36,13 @@ FROM {queries_all} q LEFT JOIN best b USING (query) LEFT JOIN dens USING (query)
 @query(
     "hits_parse",
     """
-SELECT query, target, identity, alnlen, query_coverage, target_coverage FROM (
-  SELECT trim(split_part(value, chr(9), 1)) AS query, trim(split_part(value, chr(9), 2)) AS target,
-         try_cast(split_part(value, chr(9), 3) AS double) AS identity,
-         cast(try_cast(split_part(value, chr(9), 4) AS double) AS int) AS alnlen, len(string_split(value, chr(9))) AS n,
-         round(least(100, greatest(0, coalesce(try_cast(split_part(value, chr(9), 13) AS double),
-            100 * cast(try_cast(split_part(value, chr(9), 4) AS double) AS int) / nullif(try_cast(split_part(value, chr(9), 11) AS double), 0)))), 4) AS query_coverage,
-         round(least(100, greatest(0, coalesce(try_cast(split_part(value, chr(9), 14) AS double),
-            100 * cast(try_cast(split_part(value, chr(9), 4) AS double) AS int) / nullif(try_cast(split_part(value, chr(9), 12) AS double), 0)))), 4) AS target_coverage
-  FROM {hit_lines}) x
+SELECT query, target, identity, alnlen,
+  CASE WHEN qc IS NOT NULL THEN round(least(100, greatest(0, qc)), 4) END AS query_coverage,
+  CASE WHEN tc IS NOT NULL THEN round(least(100, greatest(0, tc)), 4) END AS target_coverage FROM (
+  SELECT trim(p[1]) AS query, trim(p[2]) AS target, try_cast(p[3] AS double) AS identity, cast(try_cast(p[4] AS double) AS int) AS alnlen, len(p) AS n,
+         coalesce(try_cast(p[13] AS double), 100 * try_cast(p[4] AS double) / nullif(try_cast(p[11] AS double), 0)) AS qc,
+         coalesce(try_cast(p[14] AS double), 100 * try_cast(p[4] AS double) / nullif(try_cast(p[12] AS double), 0)) AS tc
+  FROM (SELECT string_split(value, chr(9)) AS p FROM {hit_lines}) y) x
 WHERE n >= 3 AND identity IS NOT NULL AND query <> ''""",
 )
 def hits_parse(spark, sf):

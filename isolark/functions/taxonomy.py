@@ -73,25 +73,34 @@ def lineage_map(c) -> Column:
 
 
 def rank_value(lineage: Column, rank: str) -> Column:
+    """Name at one rank of a parsed lineage map."""
     return F.try_element_at(lineage, F.lit(rank))
 
 
-def species_name(lineage: Column) -> Column:
-    """Species of a parsed lineage, NULL for placeholder names."""
-    name = rank_value(lineage, "s")
+def rank_of(c, rank: str) -> Column:
+    """Name at one rank straight from the lineage text: the last non-empty one.
+
+    One anchored regular expression inside generated code; several ranks of a
+    long table are much cheaper this way than through a map.
+    """
+    opener = {"d": "(?:d|superkingdom)", "s": "(?!superkingdom)s"}.get(rank, rank)
+    name = F.regexp_extract(col(c), rf"""(?i)^(?:.*;)?\s*{opener}[^;_]*__[\s"']*([^;\s"'][^;]*)""", 1)
+    return F.when(name != "", clean_taxon(name))
+
+
+def species_name(c) -> Column:
+    """Species of a lineage text, NULL for placeholder names."""
+    name = rank_of(c, "s")
     return F.when(~F.lower(name).isin("na", "none", "unclassified"), name)
 
 
 def domain_matches(taxonomy, wanted: str) -> Column:
     """Rank-aware domain/kingdom test; an unranked string must equal the domain."""
     target = norm_domain(F.lit(wanted))
-    lineage = lineage_map(taxonomy)
-    d, k = norm_domain(rank_value(lineage, "d")), norm_domain(rank_value(lineage, "k"))
-    ranked = F.coalesce(d, F.lit("")) != F.lit("")
-    ranked = ranked | (F.coalesce(k, F.lit("")) != F.lit(""))
-    by_rank = F.coalesce(d == target, F.lit(False)) | F.coalesce(k == target, F.lit(False))
+    d = F.coalesce(norm_domain(rank_of(taxonomy, "d")), F.lit(""))
+    k = F.coalesce(norm_domain(rank_of(taxonomy, "k")), F.lit(""))
     by_text = F.coalesce(norm_domain(taxonomy) == target, F.lit(False))
-    return F.when(ranked, by_rank).otherwise(by_text)
+    return F.when((d != "") | (k != ""), (d == target) | (k == target)).otherwise(by_text)
 
 
 def lineage_key(c) -> Column:
@@ -101,13 +110,10 @@ def lineage_key(c) -> Column:
     return F.when(~F.upper(F.trim(col(c))).isin("", "NA"), joined)
 
 
-def deepest_taxon(lineage: Column, skip_species: bool = True) -> Column:
+def deepest_taxon(c, skip_species: bool = True) -> Column:
     """Struct(rank, name) of the deepest filled rank, NULL when none is."""
     order = [r for r in reversed(RANKS) if not (skip_species and r == "s")]
-    picks = [
-        F.when(rank_value(lineage, r).isNotNull(), F.struct(F.lit(r).alias("rank"), rank_value(lineage, r).alias("name")))
-        for r in order
-    ]
+    picks = [F.when(rank_of(c, r).isNotNull(), F.struct(F.lit(r).alias("rank"), rank_of(c, r).alias("name"))) for r in order]
     return F.coalesce(*picks)
 
 
@@ -126,11 +132,11 @@ def display_name(c) -> Column:
     return F.when(F.coalesce(joined, F.lit("")).rlike(r"^[\d_]*$"), F.lit("unknown")).otherwise(no_letter)
 
 
-def agreement(left: Column, right: Column) -> Column:
+def agreement(left, right) -> Column:
     """Struct(deepest_shared, conflict): walk the ranks both name until one differs."""
     ranks = F.array(
         *[
-            F.struct(F.lit(i).alias("i"), F.lit(name).alias("rank"), rank_value(left, r).alias("a"), rank_value(right, r).alias("b"))
+            F.struct(F.lit(i).alias("i"), F.lit(name).alias("rank"), rank_of(left, r).alias("a"), rank_of(right, r).alias("b"))
             for i, (r, name) in enumerate(zip(RANKS, RANK_NAMES))
         ]
     )
@@ -146,7 +152,8 @@ def agreement(left: Column, right: Column) -> Column:
         .when(x["na"] == x["nb"], F.struct(x["rank"].alias("deepest"), F.lit("none").alias("conflict")))
         .otherwise(F.struct(acc["deepest"].alias("deepest"), F.concat(x["rank"], F.lit(":"), x["a"], F.lit("!="), x["b"]).alias("conflict"))),
     )
-    known = (F.size(left) > 0) & (F.size(right) > 0)
+    ranked = lambda c: F.contains(F.coalesce(col(c), F.lit("")), F.lit("__"))
+    known = ranked(left) & ranked(right)
     return F.when(known, F.struct(walk["deepest"].alias("deepest_shared"), walk["conflict"].alias("conflict")))
 
 

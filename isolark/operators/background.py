@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from isolark.functions.scores import GENOME_TARGET
-from isolark.functions.taxonomy import lineage_map, norm_taxon, species_name
+from isolark.functions.taxonomy import norm_taxon, species_name
 
 
 def classification_tiers(rows: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def species_coverage(taxa: DataFrame, roles: DataFrame, ledger: DataFrame, targe
     selections, so a record counts once.
     """
     rows = (
-        taxa.withColumn("species_key", norm_taxon(species_name(lineage_map("taxonomy"))))
+        taxa.withColumn("species_key", norm_taxon(species_name("taxonomy")))
         .filter(F.col("species_key").isNotNull())
         .join(roles, "dataset", "left")
         .join(ledger.select("id", "selected", "available"), "id", "left")

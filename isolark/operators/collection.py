@@ -67,7 +67,7 @@ def taxon_slice(df: DataFrame, taxon: str, rank: str = "auto", min_rows: int = 3
     elif rank == "auto":
         rank = "d" if taxon.strip().lower() in T.DOMAIN_ALIASES else "p"
     wanted = "".join(ch for ch in taxon.lower() if ch.isalnum() and ch.isascii())
-    value = T.rank_value(T.lineage_map("taxonomy"), rank)
+    value = T.rank_of("taxonomy", rank)
     if rank == "d":
         hit = T.norm_domain(value) == F.lit(T.DOMAIN_ALIASES.get(wanted, wanted))
     else:

@@ -18,7 +18,8 @@ def parse_hit_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     Rows with fewer than three fields or no usable identity are skipped; the
     12-column form has no coverage, so it is derived from alignment length.
     """
-    parts = F.split(F.col(column), "\t")
+    lines = lines.select(F.split(column, "\t").alias("p"))
+    parts = F.col("p")
     at = lambda i: F.try_element_at(parts, F.lit(i + 1))
     num = lambda i: at(i).try_cast("double")
     count = lambda i: num(i).try_cast("int")

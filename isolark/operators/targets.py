@@ -41,8 +41,8 @@ def match_targets(rows: DataFrame, terms: DataFrame, min_rank: str = "p") -> Dat
     ranked = F.count_if((F.col("rank") != "*") & ~F.col("rank").isin("d", "k"))
     only_domain = terms.groupBy("target_id").agg((ranked == 0).alias("domain_only"))
     terms = terms.join(only_domain, "target_id").select("target_id", F.col("rank").alias("t_rank"), "name", "domain_only")
-    lineage = T.lineage_map("taxonomy")
-    names = rows.select("id", "identity", F.explode(lineage).alias("rank", "taxon")).filter(F.col("rank").isin(*T.RANKS))
+    ranks = F.array(*[F.struct(F.lit(r).alias("rank"), T.rank_of("taxonomy", r).alias("taxon")) for r in T.RANKS])
+    names = rows.select("id", "identity", F.inline(ranks)).filter(F.col("taxon").isNotNull())
     names = names.withColumn("name", T.norm_taxon("taxon"))
     # Distinct names are few against the rows that carry them: resolve each
     # (rank, name) once, then bring the per-name winner back to the rows.

@@ -140,6 +140,24 @@ VIEWS: dict[str, str] = {
                cast(k * 3 % 9 AS int) AS matches_ge_99, cast(k * 5 % 14 AS int) AS matches_ge_97,
                CASE WHEN k % 27 = 0 THEN NULL ELSE round(94 + (k * 83 % 600) / 100e0, 2) END AS nearest_genome_identity
         FROM (SELECT *, seq_no AS k FROM {taxa}) t LEFT JOIN {ledger} l ON l.id = t.id""",
+    # --- a rooted tree: root, region, nation, segment, quarter, isolate; lengths are exact binary fractions
+    "tree_nodes": """
+        SELECT 'root' AS node_id, cast(NULL AS string) AS parent_id, cast(0 AS double) AS branch_length, false AS is_leaf
+        FROM {region} WHERE r_regionkey = 0
+        UNION ALL SELECT concat('R', cast(r_regionkey AS string)), 'root', (r_regionkey + 1) / 16e0, false FROM {region}
+        UNION ALL SELECT concat('N', cast(n_nationkey AS string)), concat('R', cast(n_regionkey AS string)), (n_nationkey % 7 + 1) / 32e0, false FROM {nation}
+        UNION ALL SELECT DISTINCT concat('G', cast(c_nationkey AS string), substring(c_mktsegment, 1, 2)), concat('N', cast(c_nationkey AS string)),
+               (c_nationkey % 3 + 1) / 64e0, false FROM {customer}
+        UNION ALL SELECT DISTINCT concat('H', cast(c_nationkey AS string), substring(c_mktsegment, 1, 2), cast(c_custkey % 4 AS string)),
+               concat('G', cast(c_nationkey AS string), substring(c_mktsegment, 1, 2)), (c_custkey % 4 + 1) / 128e0, false FROM {customer}
+        UNION ALL SELECT concat('C', cast(c_custkey AS string)), concat('H', cast(c_nationkey AS string), substring(c_mktsegment, 1, 2), cast(c_custkey % 4 AS string)),
+               CASE WHEN c_custkey % 50 = 0 THEN -1 ELSE (c_custkey * 7919 % 97 + 1) / 1024e0 END, true FROM {customer} WHERE c_custkey % 33 <> 0""",
+    # --- leaf pairs whose tree distance is asked for; some leaves are not in the tree
+    "tree_pairs": """
+        SELECT concat('C', cast(c_custkey AS string)) AS left_leaf, concat('C', cast((c_custkey * 17) % 1000 + 1 AS string)) AS right_leaf FROM {customer}""",
+    # --- assessment rows with the tree leaf that stands for them
+    "assessed": """
+        SELECT *, CASE WHEN seq_no % 21 = 0 THEN concat('C', cast(seq_no - 1 AS string)) ELSE id END AS leaf FROM {assessment}""",
     # --- partner ledger flags per isolate
     "ledger": """
         SELECT concat('C', cast(c_custkey AS string)) AS id, concat('partner', cast(c_nationkey % 9 AS string)) AS partner_id,
@@ -166,8 +184,8 @@ def expand(sql: str) -> str:
         return plain
     ctes = ",\n".join(f"{n} AS ({re.sub(chr(123) + r'(\w+)' + chr(125), r'\1', VIEWS[n]).strip()})" for n in needed)
     if plain[:4].lower() == "with":
-        return f"WITH {ctes},\n{plain[4:].lstrip()}"
-    return f"WITH {ctes}\n{plain}"
+        return f"WITH RECURSIVE {ctes},\n{plain[4:].lstrip()}"
+    return f"WITH RECURSIVE {ctes}\n{plain}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

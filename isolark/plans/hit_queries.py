@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isolark.functions import scores
-from isolark.functions.taxonomy import lineage_key, species_name, lineage_map, norm_taxon
+from isolark.functions.taxonomy import norm_taxon, species_name
 from isolark.operators import background, hits as H
 from isolark.plans.bindings import view
 from isolark.registry import query
@@ -297,7 +297,9 @@ FROM x""",
 )
 def adjusted_priority(spark, sf):
     queries, hits = view(spark, sf, "queries_all"), view(spark, sf, "hits")
-    isolates = view(spark, sf, "taxa").select("id", F.col("seq_no").alias("cust"), "taxonomy")
+    isolates = view(spark, sf, "taxa").select(
+        "id", F.col("seq_no").alias("cust"), norm_taxon(species_name("taxonomy")).alias("species_key")
+    )
     base = H.metrics(queries, hits).select("query", "novelty_score", "sequencing_priority")
     genomes = (
         H.admitted(hits.filter("pool = 'genomes'"), 50.0, H.MIN_COVERAGE)
@@ -314,7 +316,6 @@ def adjusted_priority(spark, sf):
         .join(isolates, "cust")
         .join(view(spark, sf, "ledger").select("id", "selected", "available"), "id", "left")
         .join(genomes, "query", "left")
-        .withColumn("species_key", norm_taxon(species_name(lineage_map("taxonomy"))))
         .join(coverage.select("species_key", "pangenome_gap"), "species_key", "left")
     )
     adjusted = background.adjust_priority(rows)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +25,25 @@ def local_session(cores: int | str = 8, app: str = "isolark") -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches, as named by ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints"))
-    else:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so iterative operators survive executor loss."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and continue from the files.
+
+    Iterative operators stay short to plan, and a lost executor costs a re-read
+    instead of a recomputation of every earlier step.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/isolark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

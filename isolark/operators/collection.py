@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from isolark.functions import identifiers as I, taxonomy as T
 
@@ -176,23 +176,9 @@ def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no",
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``name``, ``name__dup1``, ``name__dup2`` ... in order of appearance.
+    """``name``, ``name__dup1``, ``name__dup2`` ... in order of appearance."""
+    from isolark.operators.ordered import running_number
 
-    A hot name is numbered without meeting in one task: rows are range
-    partitioned by (name, order), counted per partition, and offset by the
-    counts of the partitions before.
-    """
-    from isolark.session import cut_lineage
-
-    ranged = df.repartitionByRange(name, order).withColumn("_part", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    local = Window.partitionBy("_part", name).orderBy(order)
-    counts = ranged.groupBy(name, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    numbered = ranged.withColumn("_local", F.row_number().over(local) - 1).join(before.select(name, "_part", "_before"), [name, "_part"])
-    suffix = F.col("_local") + F.col("_before")
-    return numbered.withColumn(
-        "unique_name", F.when(suffix == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__dup"), suffix.cast("string")))
-    ).drop("_part", "_local", "_before")
+    numbered = running_number(df, name, [order], "_copy")
+    suffix = F.concat(F.col(name), F.lit("__dup"), (F.col("_copy") - 1).cast("string"))
+    return numbered.withColumn("unique_name", F.when(F.col("_copy") == 1, F.col(name)).otherwise(suffix)).drop("_copy")

@@ -10,6 +10,11 @@ from isolark.functions import taxonomy as T
 RANK_SCORES = {"d": 10.0, "k": 10.0, "p": 30.0, "c": 45.0, "o": 60.0, "f": 75.0, "g": 90.0, "s": 100.0}
 RANK_POSITION = {r: i for i, r in enumerate("dpcofgs")} | {"k": 0}
 
+def _two_places(c):
+    """Two decimals; the first rounding removes binary noise that would flip exact halves."""
+    return F.round(F.round(c, 6), 2)
+
+
 def target_terms(entries: DataFrame) -> DataFrame:
     """One row per (entry, rank, normalised name); unranked names have rank ``*``."""
     main = F.regexp_replace("hierarchy", r"\([^)]*\)", "")
@@ -54,7 +59,7 @@ def match_targets(rows: DataFrame, terms: DataFrame, min_rank: str = "p") -> Dat
     factor = F.coalesce(F.greatest(F.lit(0.0), F.least(F.col("identity"), F.lit(100.0))) / 100.0, F.lit(1.0))
     tax_score = F.try_element_at(scores, F.col("rank"))
     scored = names.join(by_name, ["rank", "name"]).select(
-        "id", "target_id", "rank", "taxon", tax_score.alias("rank_score"), F.round(tax_score * factor, 2).alias("target_score")
+        "id", "target_id", "rank", "taxon", tax_score.alias("rank_score"), _two_places(tax_score * factor).alias("target_score")
     )
     best = scored.groupBy("id").agg(
         F.max_by(F.struct("target_id", "rank", "taxon", "rank_score", "target_score"), F.struct("target_score", "rank_score", "target_id")).alias("b")
@@ -67,4 +72,4 @@ def evaluation_score(investigation, target_score, novelty):
     target = F.coalesce(T.col(target_score), F.lit(0.0))
     with_inv = 0.75 * T.col(investigation) + 0.25 * target
     without = 0.65 * F.coalesce(T.col(novelty), F.lit(0.0)) + 0.35 * target
-    return F.round(F.least(F.lit(100.0), F.coalesce(with_inv, without)), 2)
+    return _two_places(F.least(F.lit(100.0), F.coalesce(with_inv, without)))

@@ -158,6 +158,94 @@ VIEWS: dict[str, str] = {
     # --- assessment rows with the tree leaf that stands for them
     "assessed": """
         SELECT *, CASE WHEN seq_no % 21 = 0 THEN concat('C', cast(seq_no - 1 AS string)) ELSE id END AS leaf FROM {assessment}""",
+    # --- status updates in arrival order; some ids and some words are unknown
+    "status_updates": """
+        SELECT o_orderkey AS line, CASE WHEN o_custkey % 40 = 0 THEN concat('X', cast(o_custkey AS string)) ELSE concat('C', cast(o_custkey AS string)) END AS id,
+               CASE o_orderkey % 8 WHEN 0 THEN 'received' WHEN 1 THEN 'trace-review' WHEN 2 THEN 'Approved' WHEN 3 THEN 'dna pending' WHEN 4 THEN 'PROPOSED'
+                    WHEN 5 THEN 'qc_passed' WHEN 6 THEN 'received' ELSE 'lost in post' END AS word,
+               CASE WHEN o_orderkey % 5 = 0 THEN 'checked by hand' ELSE '' END AS detail, o_orderdate AS ts
+        FROM {orders}""",
+    # --- assessment snapshots: one per year and isolate, JSON payloads, some broken, some from other datasets
+    "snapshots": """
+        SELECT concat('S', cast(year(o_orderdate) AS string)) AS snapshot_id, o_orderdate AS created_at, o_orderkey AS entry, concat('C', cast(o_custkey AS string)) AS sequence_id,
+               CASE o_orderkey % 3 WHEN 0 THEN concat('src', cast(o_custkey % 20 AS string)) WHEN 1 THEN 'src3' ELSE 'import' END AS dataset,
+               CASE WHEN o_orderkey % 31 = 0 THEN concat(chr(123), 'broken') ELSE concat(chr(123), '"decision":"', CASE o_orderkey % 4 WHEN 0 THEN 'STRONG CANDIDATE' WHEN 1 THEN 'SECONDARY CANDIDATE' ELSE 'ALREADY SEQUENCED' END,
+                    '","gap":', cast(o_custkey % 5 + o_orderkey % 2 AS string), ',"role":"', CASE o_orderkey % 3 WHEN 0 THEN 'PRIMARY' ELSE 'BACKUP' END, '"', chr(125)) END AS payload
+        FROM {orders}""",
+    # --- partner ledger as submitted: repeated, conflicting and incomplete rows
+    "ledger_rows": """
+        SELECT cast(d.doc_id + 2 AS bigint) AS line, CASE WHEN d.doc_id % 29 = 0 THEN '' ELSE concat('D', cast(d.doc_id - CASE WHEN d.doc_id % 17 = 5 THEN 1 ELSE 0 END AS string)) END AS sequence_id,
+               CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE concat('p', cast(d.doc_id % 3 * (d.doc_id % 2) AS string)) END AS partner,
+               CASE WHEN l.quality = 1 THEN 'Yes' WHEN l.quality = 0 THEN 'no' WHEN d.doc_id % 11 = 0 THEN 'unsure' WHEN d.doc_id % 7 = 0 THEN '' ELSE 'N' END AS genome,
+               CASE WHEN l.toxic = 1 THEN 'perhaps' WHEN d.doc_id % 3 = 0 THEN 'yes' ELSE '' END AS selection
+        FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
+    # --- genome results as reported
+    "genome_rows": """
+        SELECT p_partkey AS line, CASE WHEN p_partkey % 37 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN 'nobody' ELSE concat('C', cast(p_partkey % 150 + 1 AS string)) END AS sequence_id,
+               CASE WHEN p_partkey % 23 = 0 THEN '' ELSE concat('GEN', cast(p_partkey AS string)) END AS genome_id,
+               CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'sequenced' WHEN 2 THEN 'genome qc passed' WHEN 3 THEN 'QC-FAILED' WHEN 4 THEN 'SEQUENCED' ELSE 'withdrawn' END AS status,
+               CASE WHEN p_partkey % 5 = 0 THEN 'NA' ELSE cast(80 + p_partkey % 21 AS string) END AS completeness,
+               CASE WHEN p_partkey % 7 = 0 THEN '' ELSE cast(p_partkey % 9 AS string) END AS contamination,
+               CASE p_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'no' ELSE '' END AS qc_pass,
+               CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('ani', cast(p_partkey % 12 AS string)) END AS ani_cluster,
+               CASE WHEN p_partkey % 4 = 3 THEN concat('d__Bacteria;s__', p_brand) ELSE '' END AS genome_taxonomy
+        FROM {part}""",
+    "removal_requests": """
+        SELECT o_orderkey AS line, CASE WHEN o_orderkey % 41 = 0 THEN ' ' WHEN o_orderkey % 43 = 0 THEN concat('Z', cast(o_custkey AS string)) ELSE concat('C', cast(o_custkey AS string)) END AS requested_id
+        FROM {orders} WHERE o_orderkey % 5 = 0""",
+    # --- marker quality classes and manual reviews
+    "marker_qc": """
+        SELECT concat('C', cast(c_custkey AS string)) AS sequence_id, CASE c_custkey % 4 WHEN 0 THEN 'PASS_HIGH_CONFIDENCE' WHEN 1 THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL_QC' END AS qc_class
+        FROM {customer} WHERE c_custkey % 5 <> 0""",
+    "marker_reviews": """
+        SELECT concat('C', cast(c_custkey AS string)) AS sequence_id, CASE c_custkey % 5 WHEN 0 THEN 'Accept' WHEN 1 THEN 'approved' WHEN 2 THEN 'reject' ELSE 'later' END AS decision
+        FROM {customer} WHERE c_custkey % 3 = 0""",
+    # --- supplier rows and the read files they should match
+    "supplier_rows": """
+        SELECT conv_id * 1000 + turn AS line, CASE WHEN conv_id % 31 = 0 THEN '' ELSE concat('iso', cast(conv_id AS string)) END AS sequence_id,
+               concat('Run', cast(conv_id AS string), '-', cast(turn - CASE WHEN conv_id % 12 = 0 AND turn > 0 THEN 1 ELSE 0 END AS string), CASE WHEN role = 'user' THEN '_F' ELSE '_r' END) AS supplier_id,
+               CASE WHEN turn % 7 = 6 THEN '' WHEN role = 'user' THEN 'Fwd' ELSE 'reverse' END AS direction,
+               CASE conv_id % 4 WHEN 0 THEN '27F' WHEN 1 THEN '1492R' ELSE '' END AS primer
+        FROM {conversations}""",
+    "read_files": """
+        SELECT concat('in/', CASE WHEN conv_id % 9 = 0 AND turn = 0 THEN 'b/' ELSE 'a/' END, 'RUN', cast(conv_id AS string), '-', cast(turn AS string), '.ab1') AS path,
+               CASE WHEN conv_id % 4 = 2 THEN '27F' ELSE '' END AS embedded_primer
+        FROM {conversations} WHERE conv_id % 10 <> 3
+        UNION ALL SELECT concat('in/c/run', cast(conv_id AS string), '-', cast(turn AS string), '.abi'), '' FROM {conversations} WHERE conv_id % 15 = 1 AND turn = 0""",
+    # --- quality-control runs, several per (dataset, signature)
+    "qc_runs": """
+        SELECT concat('run', lpad(cast(o_orderkey AS string), 12, '0')) AS manifest, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE concat('src', cast(o_custkey % 20 AS string)) END AS dataset, concat('sig', cast(o_custkey % 211 AS string)) AS signature,
+               CASE WHEN o_orderstatus = 'F' THEN 'interview' ELSE 'paper_trail' END AS workflow, cast(o_orderkey % 50 AS int) AS passed, cast(o_orderkey % 7 AS int) AS failed, cast(o_orderkey % 90 AS int) AS read_files
+        FROM {orders}""",
+    # --- isolate attributes as free text
+    "attributes": """
+        SELECT concat('C', cast(c_custkey AS string)) AS id, c_mktsegment AS host, n_name AS country,
+               CASE WHEN c_custkey % 9 = 0 THEN 'NA' ELSE concat('site ', cast(c_custkey % 40 AS string)) END AS site,
+               CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN 'yes' ELSE 'No' END AS cultured,
+               cast(c_custkey % 100 / 4e0 AS string) AS depth
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    # --- lineages with names a guild table knows, exactly, by prefix or not at all
+    "guild_taxa": """
+        SELECT p_partkey, concat(CASE WHEN p_partkey % 10 = 0 THEN 'd__Archaea' ELSE 'd__Bacteria' END, ';p__',
+               CASE p_partkey % 4 WHEN 0 THEN 'Bacillota_A' WHEN 1 THEN 'Bacteroidota' WHEN 2 THEN 'Spirochaetota' ELSE 'Unknownota' END, ';f__',
+               CASE p_partkey % 3 WHEN 0 THEN 'Lachnospiraceae' WHEN 1 THEN 'Nowhereaceae' ELSE 'Selenomonadaceae_B' END, ';g__',
+               CASE p_partkey % 7 WHEN 0 THEN 'Prevotella' WHEN 1 THEN 'Prevotellamassilia' WHEN 2 THEN 'Methanobrevibacter_A 123' WHEN 3 THEN 'Nobody' WHEN 4 THEN '' ELSE p_brand END) AS taxonomy
+        FROM {part}""",
+    # --- aligned rows: letters of a text as bases, everything else as gaps; ten rows per context
+    "aligned": """
+        SELECT doc_id, concat('D', cast(doc_id AS string)) AS id, doc_id % 3 = 0 AS is_anchor, source AS grp, cast(floor(doc_id / 10) AS bigint) AS context,
+               translate(lower(text), 'acgtbdefhijklmnopqrsuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-') AS aligned
+        FROM {documents} WHERE n_chars < 2000""",
+    # --- chromatogram reads: one conversation turn = one read, letters as bases, a Phred+33 string of the same length
+    "reads": """
+        SELECT conv_id, turn, concat('I', cast(conv_id AS string)) AS sequence_id, concat('I', cast(conv_id AS string), '_', cast(turn AS string)) AS read_id,
+               CASE WHEN role = 'user' THEN 'forward' ELSE 'reverse' END AS direction, CASE turn % 4 WHEN 0 THEN '27F' WHEN 1 THEN '1492R' WHEN 2 THEN '515F' ELSE 'unknown' END AS primer,
+               CASE conv_id % 11 WHEN 0 THEN 'best read' WHEN 1 THEN 'Assemble/merge' WHEN 2 THEN 'assembled' WHEN 3 THEN 'do-not-assemble' ELSE '' END AS mode_text,
+               CASE WHEN conv_id % 13 = 0 AND turn = 1 THEN 'ab1_missing_pcon' WHEN conv_id % 17 = 0 THEN 'fasta_quality_unverified' ELSE 'fastq' END AS quality_source,
+               round((conv_id * 7 + turn * 13) % 400 / 20e0, 2) AS mixed_peak_percent,
+               translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACNTG') AS sequence,
+               translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,', 'IIHIIGFHIG5IIHIIDHIIIGA)CBEEEEEEEEEEEEEEEEEEEEEEEEEE8(0') AS quality_text
+        FROM {conversations}""",
     # --- partner ledger flags per isolate
     "ledger": """
         SELECT concat('C', cast(c_custkey AS string)) AS id, concat('partner', cast(c_nationkey % 9 AS string)) AS partner_id,

@@ -340,7 +340,7 @@ def target_terms(spark, sf):
 
 _MATCH = f"""{_PARTS.strip()}, {_TERMS.strip()},
 dom AS (SELECT target_id, count(*) FILTER (rank NOT IN ('*', 'd', 'k')) = 0 AS only_domain FROM terms GROUP BY 1),
-cand AS (SELECT l.id, l.rank, l.name AS taxon, t.target_id, sc AS rank_score, cast(round(cast(cast(sc::double * CASE WHEN a.classification_identity IS NULL THEN 1 ELSE least(100, greatest(0, a.classification_identity)) / 100 END AS varchar) AS decimal(28,14)), 2) AS double) AS target_score
+cand AS (SELECT l.id, l.rank, l.name AS taxon, t.target_id, sc AS rank_score, cast(round(cast(cast(round(sc::double * CASE WHEN a.classification_identity IS NULL THEN 1 ELSE least(100, greatest(0, a.classification_identity)) / 100 END, 6) AS varchar) AS decimal(28,14)), 2) AS double) AS target_score
   FROM lin l JOIN (VALUES ('d', 10, 0), ('p', 30, 1), ('c', 45, 2), ('o', 60, 3), ('f', 75, 4), ('g', 90, 5), ('s', 100, 6)) r(rank, sc, pos) ON r.rank = l.rank
   JOIN terms t ON t.name = regexp_replace(lower(l.name), '[^a-z0-9]+', '', 'g') AND t.rank IN (l.rank, '*') JOIN dom USING (target_id) JOIN {{assessment}} a ON a.id = l.id
   WHERE (l.rank = 'd' AND only_domain) OR pos >= 1),
@@ -356,8 +356,8 @@ def target_match(spark, sf):
 @query(
     "evaluation_score",
     f"""WITH {_MATCH}
-SELECT a.id, cast(round(cast(cast(least(100, CASE WHEN a.seq_no % 4 = 0 THEN 0.65::double * a.novelty_score + 0.35::double * coalesce(m.target_score, 0)
-   ELSE 0.75::double * (a.isolation * 100) + 0.25::double * coalesce(m.target_score, 0) END) AS varchar) AS decimal(28,14)), 2) AS double) AS evaluation_score
+SELECT a.id, cast(round(cast(cast(round(least(100, CASE WHEN a.seq_no % 4 = 0 THEN 0.65::double * a.novelty_score + 0.35::double * coalesce(m.target_score, 0)
+   ELSE 0.75::double * (a.isolation * 100) + 0.25::double * coalesce(m.target_score, 0) END), 6) AS varchar) AS decimal(28,14)), 2) AS double) AS evaluation_score
 FROM {{assessment}} a LEFT JOIN matched m USING (id)""",
 )
 def evaluation_score(spark, sf):

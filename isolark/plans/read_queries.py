@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isolark.functions import identifiers as I, quality as Q
-from isolark.operators import reads as R
+from isolark.operators import assembly, reads as R
 from isolark.plans.bindings import view
 from isolark.registry import query
 
@@ -272,3 +272,35 @@ def prepared_reads(spark, sf):
 @query("failure_manifest")
 def failure_manifest(spark, sf):
     return R.failure_manifest(_prepared(spark, sf))
+
+
+def _fragments(spark, sf):
+    """Overlapping reads of one text: its first 60 %, its last 60 % reversed, and the whole turn."""
+    rows = _reads(spark, sf)
+    size = F.length("sequence")
+    cut = (size * 0.6).cast("int")
+
+    def piece(tag, start, n, reverse=False):
+        seq, quals = F.substring("sequence", start, n), F.slice("qualities", start, n)
+        return rows.select(
+            F.concat(F.lit("F"), "read_id").alias("sequence_id"), F.concat("read_id", F.lit(tag)).alias("read_id"), F.lit(True).alias("kept"), seq.alias("oriented"), quals.alias("oriented_q")
+        ).filter(n >= 60)
+
+    return piece("a", F.lit(1), cut).unionByName(piece("b", size - cut + 1, cut))
+
+
+@query("assemble_isolates")
+def assemble_isolates(spark, sf):
+    out = assembly.assemble(_fragments(spark, sf))
+    return out.select("sequence_id", "status", F.length("consensus").alias("length"), "unmerged", "min_identity", "conflicts", "ambiguous")
+
+
+@query("read_placements")
+def read_placements(spark, sf):
+    reads = _fragments(spark, sf)
+    return assembly.placements(reads, assembly.assemble(reads))
+
+
+@query("overlap_pairs")
+def overlap_pairs(spark, sf):
+    return assembly.best_pairs(_fragments(spark, sf))

@@ -47,3 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/isolark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns) -> DataFrame:
+    """Even hash partitions for CPU-bound Python stages.
+
+    An explicit count keeps adaptive execution from merging small-looking but
+    expensive partitions into a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

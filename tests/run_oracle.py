@@ -24,7 +24,7 @@ if __name__ == "__main__":
             if key in oracles:
                 problem, n = check(fn(spark, sf_dir), con, oracles[key])
             else:
-                problem, n = None, fn(spark, sf_dir).count()
+                problem, n = None, len(fn(spark, sf_dir).collect())
         except Exception as exc:  # report every query, then fail
             problem, n = f"{type(exc).__name__}: {str(exc)[:900]}", -1
         print(f"{'ok ' if problem is None else 'BAD'} {key:28s} {n:7d} rows {time.time() - start:6.2f}s {'' if key in oracles else '(rows only)'} {problem or ''}", flush=True)

@@ -23,11 +23,14 @@ def scan_fasta(spark, sf):
     return files.read_fasta(spark, path).select("record_id", F.md5("sequence").alias("digest"))
 
 
-@query("scan_fastq", "SELECT read_id, length(sequence) AS n, md5(sequence) AS digest FROM {reads}")
+@query("scan_fastq", "SELECT read_id, length(sequence) AS n, md5(replace(sequence, chr(10), 'N')) AS digest FROM {reads} WHERE sequence <> ''")
 def scan_fastq(spark, sf):
     path = _folder(spark)
     reads = view(spark, sf, "reads")
-    clean = reads.select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality_text").alias("value"))
+    one_line = lambda c, fill: F.replace(c, F.lit("\n"), F.lit(fill))
+    clean = reads.filter("sequence <> ''").select(
+        F.concat(F.lit("@"), "read_id", F.lit("\n"), one_line("sequence", "N"), F.lit("\n+\n"), one_line("quality_text", "!")).alias("value")
+    )
     clean.write.text(path)
     return files.read_fastq(spark, path).select("read_id", F.length("sequence").alias("n"), F.md5("sequence").alias("digest"))
 

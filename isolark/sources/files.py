@@ -5,9 +5,9 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from isolark.functions.identifiers import direction_name
+from isolark.functions.identifiers import ascii_upper, direction_name
 from isolark.functions.quality import PRIMERS, processing_mode, read_info
 from isolark.functions.taxonomy import null_text
 
@@ -45,31 +45,29 @@ def read_alignment(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, sequence, qualities) from four-line records.
 
-    '@' also occurs in quality text, so records cannot be split on it: a file is
-    one unit of work, and its records stream out in batches.
+    '@' also occurs in quality text, so records cannot be split on it.  Lines are
+    read in parallel and numbered per file from the line counts of the earlier
+    file splits; every four consecutive lines then form a record.
     """
-    raw = spark.read.text(path, wholetext=True)
-
-    def records(batches):
-        for pdf in batches:
-            for text in pdf["value"]:
-                lines = text.splitlines()
-                rows = []
-                for i in range(0, len(lines) - 3, 4):
-                    head, seq, plus, qual = lines[i : i + 4]
-                    if not head.startswith("@") or not plus.startswith("+"):
-                        raise ValueError(f"malformed FASTQ record near {head!r}")
-                    rows.append((head[1:].strip(), seq.strip().upper(), qual))
-                    if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=["read_id", "sequence", "quality_text"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["read_id", "sequence", "quality_text"])
-
-    parsed = raw.mapInPandas(records, "read_id string, sequence string, quality_text string")
-    size = F.length("sequence")
-    padded = F.substring(F.rpad("quality_text", size, "!"), F.lit(1), size)
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.input_file_name().alias("f"), F.input_file_block_start().alias("s"), F.monotonically_increasing_id().alias("m")
+    )
+    splits = lines.groupBy("f", "s").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    # One row per file split: the window holds the splits of one file only.
+    before = Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("f", "s", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = lines.join(offsets, ["f", "s"]).withColumn("line", F.col("m") - F.col("first") + F.col("before"))
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    records = numbered.groupBy("f", F.floor(F.col("line") / 4).alias("record")).agg(
+        part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual")
+    ).filter("qual is not null")
+    sound = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+"))
+    bad = F.raise_error(F.concat(F.lit("malformed FASTQ record near "), "head"))
+    seq = ascii_upper(F.trim("seq"))
+    checked = records.select(F.when(sound, F.trim(F.substring("head", F.lit(2), F.length("head")))).otherwise(bad).alias("read_id"), seq.alias("sequence"), "qual")
+    padded = F.rpad("qual", F.length("sequence"), "!")
     quals = F.transform(F.split(padded, ""), lambda c: F.greatest(F.lit(0), F.ascii(c) - 33))
-    return parsed.select("read_id", "sequence", quals.alias("qualities"))
+    return checked.select("read_id", "sequence", F.when(F.length("sequence") > 0, quals).otherwise(F.array().cast("array<int>")).alias("qualities"))
 
 
 _TRACE = (

@@ -192,3 +192,25 @@ def baseline_tier(dataset, explicit, token: str = "priority") -> Column:
     tier = F.when(tier == "primary", "priority").otherwise(tier)
     named = F.when(F.contains(F.lower(F.coalesce(col(dataset), F.lit(""))), F.lit(token)), "priority").otherwise("secondary")
     return F.when(tier.isin("priority", "secondary"), tier).otherwise(named)
+
+
+# Labels of well-known reference collections by normalised name.
+REFERENCE_LABELS = {
+    "hungate16s": "Hungate16S",
+    "hungate": "Hungate16S",
+    "silva": "SILVA",
+    "rdp": "RDP",
+    "homd": "HOMD",
+    "greengenes2": "GreenGenes2",
+    "gg2": "GreenGenes2",
+    "ncbi16s": "NCBI16S",
+    "gtdb": "GTDB",
+}
+
+
+def dataset_label(name, known: dict[str, str] = REFERENCE_LABELS) -> Column:
+    """Registered label: exact normalised name, then containment either way, else the name."""
+    key = F.regexp_replace(F.lower(col(name)), r"[-_\s]", "")
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for p in known.items() for x in p]), key)
+    near = [F.when(F.contains(key, F.lit(k)) | (F.contains(F.lit(k), key) & (key != "")), v) for k, v in known.items()]
+    return F.coalesce(exact, *near, col(name))

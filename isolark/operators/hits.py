@@ -178,34 +178,26 @@ def classify(queries: DataFrame, hits: DataFrame, taxonomy: DataFrame, floor: fl
 
 
 def disagreement(hits: DataFrame, taxonomy: DataFrame, threshold: float = 97.0) -> DataFrame:
-    """Queries whose high-identity hits resolve to two or more lineages."""
+    """Queries whose high-identity hits resolve to two or more lineages.
+
+    One row per (query, lineage) with its hit count and best hit, beside the
+    query's totals; a query with very many lineages never has to fit in one row.
+    """
     named = (
         hits.filter(F.col("identity") >= threshold)
         .join(taxonomy.select("target", "taxonomy"), "target", "left")
         .withColumn("tax_key", lineage_key("taxonomy"))
     )
     groups = named.groupBy("query", "tax_key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("target", "identity"), best_key()).alias("b"),
-        F.min("taxonomy").alias("taxon"),
-    )
-    described = F.struct(
-        (-F.col("b.identity")).alias("o"),
-        F.col("taxon").alias("t"),
-        F.format_string("%s (%d hits; best %.2f%% via %s)", "taxon", "n", F.col("b.identity"), F.col("b.target")).alias("text"),
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("target", "identity"), best_key()).alias("b"), F.min("taxonomy").alias("taxon")
     )
     known = F.col("tax_key").isNotNull()
-    return (
-        groups.groupBy("query")
-        .agg(
-            F.sum("n").alias("high_quality_hits"),
-            F.sum(F.when(known, F.col("n")).otherwise(0)).alias("assigned_hits"),
-            F.count("tax_key").alias("distinct_taxa"),
-            F.array_sort(F.collect_list(F.when(known, described))).alias("g"),
-        )
-        .filter("distinct_taxa >= 2")
-        .withColumn("disagreeing_taxa", F.array_join(F.transform("g", lambda x: x["text"]), " || "))
-        .drop("g")
+    totals = groups.groupBy("query").agg(
+        F.sum("n").alias("high_quality_hits"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("assigned_hits"), F.count("tax_key").alias("distinct_taxa")
+    )
+    mixed = groups.filter(known).join(totals.filter("distinct_taxa >= 2"), "query")
+    return mixed.select(
+        "query", "high_quality_hits", "assigned_hits", "distinct_taxa", "taxon", F.col("n").alias("hits"), F.col("b.identity").alias("best_identity"), F.col("b.target").alias("best_hit")
     )
 
 

@@ -8,6 +8,15 @@ from isolark.functions import quality as Q, taxonomy as T
 from isolark.functions.identifiers import n_percent, reverse_complement
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Same rows, with every column computed before anything above it.
+
+    A filter on a long chain of derived columns would otherwise be pushed below
+    them by copying the whole chain into its condition.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def prepare_reads(reads: DataFrame, policy: Q.ReadPolicy = Q.POLICY, primers: dict[str, str] | None = None) -> DataFrame:
     """Trim, cut primers, mask, measure, classify and orient; narrow, no shuffle.
 
@@ -46,13 +55,14 @@ def prepare_reads(reads: DataFrame, policy: Q.ReadPolicy = Q.POLICY, primers: di
     )
     judged = measured.withColumns(Q.read_qc(policy))
     back = F.col("direction") == "reverse"
-    return judged.withColumns(
+    oriented = judged.withColumns(
         {
             "kept": F.col("qc_class") != "FAIL_QC",
             "oriented": F.when(back, reverse_complement("masked_sequence")).otherwise(F.col("masked_sequence")),
             "oriented_q": F.when(back, F.reverse("masked_q")).otherwise(F.col("masked_q")),
         }
     ).drop("t", "m", "_seq", "_q", "_cut")
+    return settled(oriented)
 
 
 def group_mode(reads: DataFrame, default: str = "assemble") -> DataFrame:
@@ -116,20 +126,27 @@ def read_concordance(assigned: DataFrame) -> DataFrame:
     return out.select("sequence_id", F.coalesce(rank, F.lit("NA")).alias("compared_rank"), status.alias("status"))
 
 
+def failed_reads(prepared: DataFrame) -> DataFrame:
+    """One row per read that failed, with its reasons."""
+    return prepared.filter(~F.col("kept")).select("sequence_id", "read_id", F.array_join("qc_reasons", ";").alias("reasons"))
+
+
 def failure_manifest(prepared: DataFrame) -> DataFrame:
-    """Isolates without a kept read: their reads' reasons and the best recoverable read."""
+    """Isolates without a kept read and their best recoverable read.
+
+    The reasons stay in ``failed_reads``, one row per read, so an isolate with
+    very many reads never has to fit in one cell.
+    """
     scored = prepared.withColumns({"_mq": F.round(Q.mean_quality("oriented_q"), 9), "_me": F.round(Q.mean_error("oriented_q"), 12)})
     fallback = F.when(F.length("oriented") > 0, F.col("oriented")).otherwise(F.col("sequence"))
     key = F.struct("_mq", (-F.col("_me")).alias("e"), F.length("oriented").alias("l"), "read_id")
-    reason = F.concat("read_id", F.lit("["), F.array_join("qc_reasons", ";"), F.lit("]"))
     agg = scored.groupBy("sequence_id").agg(
         F.count(F.lit(1)).alias("reads"),
         F.count_if("kept").alias("kept_reads"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), reason))), " | ").alias("failures"),
         F.max_by(F.struct("read_id", F.length(fallback).alias("length")), F.when(F.length(fallback) > 0, key)).alias("b"),
     )
     failed = agg.filter("kept_reads = 0")
-    return failed.select("sequence_id", "reads", "failures", F.col("b.read_id").alias("best_recoverable"), F.col("b.length").alias("recoverable_length"))
+    return failed.select("sequence_id", "reads", F.col("b.read_id").alias("best_recoverable"), F.col("b.length").alias("recoverable_length"))
 
 
 def assembly_qc(assemblies: DataFrame, policy: Q.ReadPolicy = Q.POLICY) -> DataFrame:

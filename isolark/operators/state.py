@@ -181,15 +181,12 @@ def genome_import(rows: DataFrame, known: DataFrame, min_completeness: float = 9
 
 
 def genome_feedback(imported: DataFrame, marker_taxonomy: DataFrame) -> DataFrame:
-    """QC-passed genomes per species: distinct isolates and ANI clusters."""
+    """Distinct (species, isolate, ANI cluster) of QC-passed genomes, one row each."""
     good = imported.filter("genome_qc_pass").join(marker_taxonomy.select(F.col("id").alias("sequence_id"), "taxonomy"), "sequence_id", "left")
     species = T.species_name(F.when(F.trim("genome_taxonomy") != "", F.col("genome_taxonomy")).otherwise(F.col("taxonomy")))
-    keyed = good.withColumn("species_key", T.norm_taxon(species)).filter("species_key is not null")
-    sets = keyed.groupBy("species_key").agg(
-        F.array_join(F.array_sort(F.collect_set("sequence_id")), ";").alias("genome_ids"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("ani_cluster") != "", F.col("ani_cluster")))), ";").alias("ani_clusters"),
-    )
-    return sets
+    cluster = F.nullif(F.col("ani_cluster"), F.lit(""))
+    keyed = good.select(T.norm_taxon(species).alias("species_key"), "sequence_id", cluster.alias("ani_cluster"))
+    return keyed.filter("species_key is not null").distinct()
 
 
 def removal_plan(requests: DataFrame, sequences: DataFrame, roles: DataFrame, metadata: DataFrame, genomes: DataFrame,

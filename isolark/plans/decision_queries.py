@@ -90,14 +90,13 @@ def genome_collection(spark, sf):
 @query(
     "committed_by_species",
     """
-SELECT lower(regexp_replace(split_part(taxonomy, ';s__', 2), '[^A-Za-z0-9]+', '', 'g')) AS species_key, count(DISTINCT t.id) AS committed, string_agg(DISTINCT t.id, ';' ORDER BY t.id) AS ids
+SELECT DISTINCT lower(regexp_replace(split_part(taxonomy, ';s__', 2), '[^A-Za-z0-9]+', '', 'g')) AS species_key, t.id
 FROM {taxa} t LEFT JOIN {roles} r ON r.dataset = t.dataset LEFT JOIN {ledger} l ON l.id = t.id
-WHERE strpos(taxonomy, ';s__') > 0 AND ((r.role = 'baseline' AND r.genomes_available) OR l.available OR l.selected) GROUP BY 1""",
+WHERE strpos(taxonomy, ';s__') > 0 AND ((r.role = 'baseline' AND r.genomes_available) OR l.available OR l.selected)""",
 )
 def committed_by_species(spark, sf):
-    rows = genome_collection(spark, sf).withColumn("species_key", T.norm_taxon(T.species_name("taxonomy"))).filter("species_key is not null")
-    ids = F.array_sort(F.collect_set("id"))
-    return rows.groupBy("species_key").agg(F.countDistinct("id").alias("committed"), F.array_join(ids, ";").alias("ids"))
+    rows = genome_collection(spark, sf).withColumn("species_key", T.norm_taxon(T.species_name("taxonomy")))
+    return rows.filter("species_key is not null").select("species_key", "id").distinct()
 
 
 @query("new_records", "SELECT concat('C', o_custkey) AS id, count(*) AS orders FROM {orders} WHERE concat('C', o_custkey) NOT IN (SELECT id FROM {ledger} WHERE selected) GROUP BY 1")

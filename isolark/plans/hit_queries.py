@@ -147,10 +147,9 @@ WITH named AS (SELECT h.query, h.target, h.identity, h.ordinal, t.taxonomy,
      CASE WHEN t.taxonomy IS NULL OR upper(trim(t.taxonomy)) IN ('', 'NA') THEN NULL ELSE lower(t.taxonomy) END AS k
    FROM {hits} h LEFT JOIN {target_taxa} t USING (target) WHERE identity >= 97),
 g AS (SELECT query, k, count(*) AS n, min(taxonomy) AS taxon, arg_min(identity, (-identity, ordinal, target)) AS bi,
-      arg_min(target, (-identity, ordinal, target)) AS bt FROM named GROUP BY query, k)
-SELECT query, cast(sum(n) AS bigint) AS high_quality_hits, cast(sum(CASE WHEN k IS NOT NULL THEN n ELSE 0 END) AS bigint) AS assigned_hits, count(k) AS distinct_taxa,
-       string_agg(CASE WHEN k IS NOT NULL THEN concat(taxon, ' (', n, ' hits; best ', printf('%.2f', bi), '% via ', bt, ')') END, ' || ' ORDER BY -bi, taxon) AS disagreeing_taxa
-FROM g GROUP BY query HAVING count(k) >= 2""",
+      arg_min(target, (-identity, ordinal, target)) AS bt FROM named GROUP BY query, k),
+t AS (SELECT query, cast(sum(n) AS bigint) AS high_quality_hits, cast(sum(CASE WHEN k IS NOT NULL THEN n ELSE 0 END) AS bigint) AS assigned_hits, count(k) AS distinct_taxa FROM g GROUP BY query HAVING count(k) >= 2)
+SELECT query, high_quality_hits, assigned_hits, distinct_taxa, taxon, n AS hits, bi AS best_identity, bt AS best_hit FROM g JOIN t USING (query) WHERE k IS NOT NULL""",
 )
 def taxonomic_disagreement(spark, sf):
     return H.disagreement(view(spark, sf, "hits"), view(spark, sf, "target_taxa"))

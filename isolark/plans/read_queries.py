@@ -274,6 +274,11 @@ def failure_manifest(spark, sf):
     return R.failure_manifest(_prepared(spark, sf))
 
 
+@query("failed_reads")
+def failed_reads(spark, sf):
+    return R.failed_reads(_prepared(spark, sf))
+
+
 def _fragments(spark, sf):
     """Overlapping reads of one text: its first 60 %, its last 60 % reversed, and the whole turn."""
     rows = _reads(spark, sf)

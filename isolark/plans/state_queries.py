@@ -141,8 +141,7 @@ def genome_import(spark, sf):
     f"""
 WITH {_GENOME.strip()},
 k AS (SELECT g5.*, CASE WHEN genome_taxonomy <> '' THEN genome_taxonomy ELSE t.taxonomy END AS tx FROM g5 LEFT JOIN {{taxa}} t ON t.id = sequence_id WHERE reason IS NULL AND pass)
-SELECT regexp_replace(lower(split_part(tx, ';s__', 2)), '[^a-z0-9]+', '', 'g') AS species_key, string_agg(DISTINCT sequence_id, ';' ORDER BY sequence_id) AS genome_ids,
-  coalesce(string_agg(DISTINCT nullif(ani_cluster, ''), ';' ORDER BY nullif(ani_cluster, '')), '') AS ani_clusters FROM k WHERE strpos(tx, ';s__') > 0 GROUP BY 1""",
+SELECT DISTINCT regexp_replace(lower(split_part(tx, ';s__', 2)), '[^a-z0-9]+', '', 'g') AS species_key, sequence_id, nullif(ani_cluster, '') AS ani_cluster FROM k WHERE strpos(tx, ';s__') > 0""",
 )
 def genome_feedback(spark, sf):
     return S.genome_feedback(genome_import(spark, sf), view(spark, sf, "taxa"))

@@ -92,7 +92,7 @@ def best_read(prepared: DataFrame) -> DataFrame:
     )
     return agg.select(
         "sequence_id", "reads", "kept_reads", F.col("b.read_id").alias("selected_read"), F.length("b.oriented").alias("length"),
-        F.round("b._mq", 2).alias("mean_q"), F.when(F.col("kept_reads") == 0, "failed_no_reads").otherwise("best_read").alias("status"),
+        F.round("b._mq", 4).alias("mean_q"), F.when(F.col("kept_reads") == 0, "failed_no_reads").otherwise("best_read").alias("status"),
     )
 
 

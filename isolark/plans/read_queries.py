@@ -139,7 +139,7 @@ def group_mode(spark, sf):
 WITH {_ARR}, k AS (SELECT *, round(list_avg(qs), 9) AS mq, round(list_avg({_ERR}), 12) AS me, length(sequence) AS n, length(sequence) - length(replace(sequence, 'N', '')) AS nn FROM arr),
 u AS (SELECT *, quality_source <> 'ab1_missing_pcon' AS ok FROM k)
 SELECT sequence_id, count(*) AS reads, count(*) FILTER (ok) AS kept_reads, arg_max(read_id, (mq, -me, n, -nn, read_id)) FILTER (ok) AS selected_read, arg_max(n, (mq, -me, n, -nn, read_id)) FILTER (ok) AS length,
-  round(arg_max(mq, (mq, -me, n, -nn, read_id)) FILTER (ok), 2) AS mean_q, CASE WHEN count(*) FILTER (ok) = 0 THEN 'failed_no_reads' ELSE 'best_read' END AS status FROM u GROUP BY 1""",
+  round(arg_max(mq, (mq, -me, n, -nn, read_id)) FILTER (ok), 4) AS mean_q, CASE WHEN count(*) FILTER (ok) = 0 THEN 'failed_no_reads' ELSE 'best_read' END AS status FROM u GROUP BY 1""",
 )
 def best_read(spark, sf):
     rows = _reads(spark, sf).withColumns(

@@ -126,7 +126,7 @@ def nearest_marked(queries: DataFrame, marks: DataFrame, closed: DataFrame, grou
     return reach.groupBy(group, "leaf").agg(F.min(F.col("dist") + to_mark).alias("distance"))
 
 
-def clade_members(targets: DataFrame, forced: DataFrame, closed: DataFrame, maximum: int = 30) -> DataFrame:
+def clade_members(targets: DataFrame, forced: DataFrame, closed: DataFrame, nodes: DataFrame, maximum: int = 30) -> DataFrame:
     """Leaves shown with each clade: targets and forced leaves, then the nearest others.
 
     ``targets`` is (clade, leaf).  Others fill up to ``maximum`` by distance to a
@@ -135,7 +135,7 @@ def clade_members(targets: DataFrame, forced: DataFrame, closed: DataFrame, maxi
     from pyspark.sql import Window
 
     clades = targets.select("clade").distinct()
-    leaves = closed.groupBy("ancestor_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(F.col("ancestor_id").alias("node_id"))
+    leaves = nodes.filter("is_leaf").select("node_id")
     below = (
         closed.join(leaves, "node_id", "left_semi")
         .join(clades, closed.ancestor_id == clades.clade)

@@ -98,7 +98,7 @@ def clade_members(spark, sf):
     closed, nodes = _closed(spark, sf), view(spark, sf, "tree_nodes")
     clades = trees.local_clades(closed, nodes).join(view(spark, sf, "taxa").select(F.col("id").alias("node_id"), "seq_no"), "node_id")
     pick = lambda m, r: clades.filter(F.col("seq_no") % m == r).select("clade", F.col("node_id").alias("leaf"))
-    return trees.clade_members(pick(10, 3), pick(20, 7), closed, maximum=12)
+    return trees.clade_members(pick(10, 3), pick(20, 7), closed, nodes, maximum=12)
 
 
 @query("prune_tree")

@@ -36,8 +36,7 @@ class MergeTable:
         self.of_bytes = np.concatenate([self.ranks(left, np.tile(self.inner, 256)), self.ranks(left, np.tile(self.final, 256))])
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left.astype(np.int64) << 20) | right
-        key[(left < 0) | (right < 0)] = -1
+        key = (left.astype(np.int64) << 20) | right  # below 0, and so unknown, where a token is -1
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.of_key[at], NONE)
 
@@ -101,18 +100,15 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
                 heapq.heappush(heap, r)
                 left = np.delete(left, again)
         right = nxt[left]
-        after, before = nxt[right], prv[left]
-        made = table.made[r]
-        tok[left], tok[right], rank[right] = made, -1, NONE
+        after = nxt[right]
+        touched = np.concatenate([left, prv[left]])
+        tok[left], tok[right], rank[right] = table.made[r], -1, NONE
         nxt[left], prv[after] = after, left
-        rank[left] = table.ranks(tok[left], tok[after])
-        before = before[before < n]
-        rank[before] = table.ranks(tok[before], tok[nxt[before]])
-        touched = np.concatenate([left, before])
-        found = rank[touched]
-        touched = touched[found < NONE]
-        if len(touched):
-            for key in add(touched, found[found < NONE]):
+        found = table.ranks(tok[touched], tok[nxt[touched]])
+        rank[touched] = found
+        pairs = found < NONE
+        if pairs.any():
+            for key in add(touched[pairs], found[pairs]):
                 heapq.heappush(heap, key)
     alive = tok[:n] >= 0
     offsets = np.zeros(len(words) + 1, np.int64)
@@ -120,6 +116,69 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
     return tok[:n][alive], offsets
 
 
+#: Words with more bytes than this are left to :func:`replay`, for a step of :func:`lockstep` looks at whole words.
+SHORT = 64
+
+
+def lockstep(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`replay`; all short words take their own next merge at the same time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    short = (lengths <= SHORT) & (lengths > 0)
+    rest = np.flatnonzero(~short)
+    long_ids, long_offsets = replay([words[i] for i in rest.tolist()], table)
+    number = np.flatnonzero(short)
+    data = np.frombuffer(b"".join(words if len(number) == len(words) else [words[i] for i in number.tolist()]), np.uint8)
+    size = lengths[number]
+    tok = table.inner[data]
+    ends = np.cumsum(size)
+    tok[ends - 1] = table.final[data[ends - 1]]
+    rank = np.full(len(tok), NONE, np.int32)
+    if len(tok):
+        rank[:-1] = table.ranks(tok[:-1], tok[1:])
+        rank[ends - 1] = NONE
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(number):
+        starts = np.cumsum(size) - size
+        least = np.minimum.reduceat(rank, starts)
+        over = least == NONE
+        if over.any():
+            stay = np.repeat(~over, size)
+            done.append((number[over], size[over], tok[~stay]))
+            tok, rank = tok[stay], rank[stay]
+            number, size, least = number[~over], size[~over], least[~over]
+            if not len(number):
+                break
+        which = np.repeat(np.arange(len(number), dtype=np.int32), size)
+        at = np.flatnonzero(rank == least[which])
+        of = which[at]
+        if len(at) > len(number):
+            at = at[np.concatenate([[True], of[1:] != of[:-1]])]
+        tok[at] = table.made[least]
+        rank[at] = rank[at + 1]  # for its place at a word's end
+        ended = at + 2 == np.cumsum(size)
+        keep = np.ones(len(tok), bool)
+        keep[at + 1] = False
+        tok, rank = tok[keep], rank[keep]
+        size -= 1
+        at -= np.arange(len(at))
+        inside = at[~ended]
+        rank[inside] = table.ranks(tok[inside], tok[inside + 1])
+        rank[at[ended]] = NONE
+        behind = at[at > np.cumsum(size) - size]
+        rank[behind - 1] = table.ranks(tok[behind - 1], tok[behind])
+    count = np.zeros(len(words), np.int64)
+    count[rest] = np.diff(long_offsets)
+    for own, n, _ in done:
+        count[own] = n
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    ids = np.empty(offsets[-1], np.int32)
+    for own, n, values in [*done, (rest, np.diff(long_offsets), long_ids)]:
+        if len(values):
+            ends = np.cumsum(n)
+            ids[np.repeat(offsets[own] - (ends - n), n) + np.arange(len(values))] = values
+    return ids, offsets
+
+
 class Memo:
     """Token ids of chunks of text, each distinct chunk encoded once per task while the memo lasts."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, secrets, token_counts, vector_search
+from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, secrets, token_counts, toxicity, vector_search
 from isolark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(pii.scan(docs, pii.fit(docs)), pii.KINDS, 4)
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

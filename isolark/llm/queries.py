@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, secrets, token_counts, toxicity, vector_search
+from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, secrets, shingle_join, token_counts, toxicity, vector_search
 from isolark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+@query
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join_documents(documents(spark, sf_dir))
+
+
 @query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -57,6 +57,7 @@ def dedup(docs: DataFrame, content_hash=F.md5) -> DataFrame:
 def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns; of repeated rows with one id, one."""
     stays = dedup(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha256")).distinct()
-    own = docs.withColumn("text_sha256_", F.sha2(normalised(F.col("text")), 256))
-    same = own["doc_id"].eqNullSafe(stays["keep_id"]) & (own["text_sha256_"] == stays["keep_sha256"])
-    return own.join(stays.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "text_sha256_"]).drop("text_sha256_")
+    digest = "_".join(["text_sha256", *docs.columns])  # no column of docs is called so
+    own = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    same = own["doc_id"].eqNullSafe(stays["keep_id"]) & (own[digest] == stays["keep_sha256"])
+    return own.join(stays.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)

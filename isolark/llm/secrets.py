@@ -7,7 +7,7 @@ forms find in a bounded sample of documents, and one of ordinary identifiers,
 learned from the other words of the same sample. Long random words that no base
 span touches become spans of kind ``random``.
 
-Defined results: null and empty texts have no spans; spans are in code points
+Defined results: null and empty texts have no spans and stay null or empty; spans are in code points
 with the end exclusive; rows pass through one by one, repeated ones included.
 """
 
@@ -164,10 +164,12 @@ def _scan(ratio: np.ndarray, threshold: float, mark: str | None):
                     rows.append(sorted(base + added_spans(text, base, ratio, threshold)))
                 names, columns = part.schema.names, part.columns
                 if mark is None:
-                    names, columns = [n for n in names if n != "text"], [c for n, c in zip(names, columns, strict=True) if n != "text"]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), span_column(rows)], ["doc_id", "spans"])
                 else:
-                    columns = [pa.array([redacted(t, s, mark) for t, s in zip(block, rows, strict=True)]) if n == "text" else c for n, c in zip(names, columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, span_column(rows)], [*names, "spans"])
+                    absent = part.column("text").is_null().to_pylist()
+                    masked = [None if a else redacted(t, s, mark) for a, t, s in zip(absent, block, rows, strict=True)]
+                    columns = [pa.array(masked, pa.string()) if n == "text" else c for n, c in zip(names, columns, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -179,10 +181,10 @@ def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> Da
 
 
 def redact(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
-    """All columns of ``docs`` with the secrets in ``text`` replaced by ``mark``, and ``spans`` as they were before."""
+    """``docs`` with the secrets in ``text`` replaced by ``mark``."""
     from isolark.llm.byte_bpe import schema_of
 
-    return map_batches(docs, _scan(ratio, threshold, mark), f"{schema_of(docs)}, {SCHEMA}")
+    return map_batches(docs, _scan(ratio, threshold, mark), schema_of(docs))
 
 
 def digest(scanned: DataFrame, kinds: tuple[str, ...], base: int) -> DataFrame:

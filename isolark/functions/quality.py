@@ -65,8 +65,17 @@ PRIMERS = {
     "LR0R": "ACCCGCTGAACTTAAGC", "LR3": "CCGTGTTTCAAGACGGG", "LR5": "TCCTGAGGGAAACTTCG", "LR6": "CGCCAGTTCTGCTTACC",
     "NL1": "GCATATCAATAAGCGGAGGAAAAG", "NL4": "GGTCCGTGTTTCAAGACGG",
 }
-# IUPAC codes as sets of bases, one hexadecimal digit each (A=1, C=2, G=4, T=8).
-IUPAC_LETTERS, IUPAC_SETS = "ACGTRYSWKMBDHVN", "12485a69c3edb7f"
+# Bases that each IUPAC code stands for.
+IUPAC = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC",
+    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+#: Each code as a bit mask of its bases, written as one hexadecimal digit so that texts can be translated.
+MASKS = {code: f"{sum(1 << 'ACGT'.index(b) for b in bases):x}" for code, bases in IUPAC.items()}
+IUPAC_LETTERS, IUPAC_SETS = "".join(MASKS), "".join(MASKS.values())
+
+# Sources of reads that carry no qualities.
+NO_QUALITY = ("fasta_quality_unverified", "ab1_missing_pcon")
 
 # Words that ask for the best single read or for assembly.
 BEST_READ_WORDS = (
@@ -81,11 +90,12 @@ ASSEMBLE_WORDS = (
 
 def phred_array(text) -> Column:
     """Phred+33 text to an int array, clamped at zero."""
-    return F.transform(F.split(col(text), ""), lambda c: F.greatest(F.lit(0), F.ascii(c) - 33))
+    return F.transform(bases(text), lambda c: F.greatest(F.lit(0), F.ascii(c) - 33))
 
 
 def bases(seq) -> Column:
-    return F.split(col(seq), "")
+    """Letters of a text; none of an empty one."""
+    return F.slice(F.split(col(seq), ""), F.lit(1), F.length(col(seq)))
 
 
 def error_probability(q) -> Column:
@@ -122,6 +132,19 @@ def mott_trim(seq, quals, cutoff: int = POLICY.min_quality) -> Column:
     )
 
 
+def trim_unverified(seq) -> Column:
+    """Struct(start, end) of a read without qualities: what lies between its first and last A, C, G or T."""
+    n = F.length(col(seq))
+    start = n - F.length(F.regexp_replace(col(seq), "^[^ACGT]+", ""))
+    return F.struct(start.alias("start"), F.greatest(start, F.length(F.regexp_replace(col(seq), "[^ACGT]+$", ""))).alias("end"))
+
+
+def mask_unverified(seq, quals) -> Column:
+    """Struct(sequence, qualities, masked) of a read without qualities: only ambiguous bases become N."""
+    masked = F.regexp_replace(col(seq), "[^ACGT]", "N")
+    return F.struct(masked.alias("sequence"), col(quals).alias("qualities"), (F.length(masked) - F.length(F.replace(masked, F.lit("N"), F.lit("")))).alias("masked"))
+
+
 def mask_low_quality(seq, quals, cutoff: int = POLICY.mask_quality) -> Column:
     """Struct(sequence, qualities, masked): weak or ambiguous bases become N with quality at most 2."""
     cells = F.zip_with(
@@ -172,9 +195,10 @@ def expected_errors(seq, quals) -> Column:
 
 def primer_end(seq, primer, min_identity: float = 0.8, max_offset: int = 5, least: int = 12, primers: dict[str, str] | None = None) -> Column:
     """Bases to cut so that a primer seen at the read start is removed (0 when none is)."""
+    reach = max(map(len, (primers or PRIMERS).values()), default=0) + max_offset
     lookup = F.create_map(*[F.lit(x) for n, s in (primers or PRIMERS).items() for x in (n.upper(), s.translate(str.maketrans(IUPAC_LETTERS, IUPAC_SETS)))])
     want = F.split(F.coalesce(F.try_element_at(lookup, F.upper(col(primer))), F.lit("")), "")
-    sets = F.split(F.translate(F.substring(col(seq), 1, 64), IUPAC_LETTERS, IUPAC_SETS), "")
+    sets = F.split(F.translate(F.substring(col(seq), 1, reach), IUPAC_LETTERS, IUPAC_SETS), "")
     code = lambda c: F.conv(c, 16, 10).cast("int")
 
     def at(offset):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count as attempts
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from isolark.functions import identifiers as I, taxonomy as T
@@ -154,13 +156,15 @@ def last_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return picked.select(*keys, *[F.col("_r." + c).alias(c) for c in rest]).select(*df.columns)
 
 
-def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no", max_rounds: int = 64) -> DataFrame:
+def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no") -> DataFrame:
     """Unique compact ids: losers of a collision try again with the next attempt number."""
     from isolark.session import cut_lineage
 
     pending = cut_lineage(records.select(header, order))
+    if pending.count() > 26**3 * 100:
+        raise ValueError("more headers than compact ids can hold; use the full identifiers")
     done = None
-    for attempt in range(max_rounds):
+    for attempt in attempts():
         tries = pending.withColumn("short_id", I.short_id(header, F.lit(attempt)))
         if done is not None:
             free = tries.join(done.select("short_id"), "short_id", "left_anti")
@@ -172,7 +176,6 @@ def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no",
         pending = cut_lineage(pending.join(done.select(order), order, "left_anti"))
         if pending.isEmpty():
             return done
-    raise ValueError("more headers than compact ids can hold; use the full identifiers")
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:

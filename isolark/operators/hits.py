@@ -24,7 +24,7 @@ def parse_hit_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     num = lambda i: at(i).try_cast("double")
     count = lambda i: num(i).try_cast("int")
     clamp = lambda c: F.when(c.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), c)))
-    wide = lines.select(
+    fields = F.struct(
         F.trim(at(0)).alias("query"),
         F.trim(at(1)).alias("target"),
         num(2).alias("identity"),
@@ -32,13 +32,12 @@ def parse_hit_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         num(12).alias("_qcov"),
         num(13).alias("_tcov"),
         F.size(parts).alias("_n"),
-    ).filter((F.col("_n") >= 3) & F.col("identity").isNotNull() & (F.col("query") != ""))
-    from_length = lambda length: F.when(F.col(length) > 0, 100.0 * F.col("alnlen") / F.col(length))
-    return wide.select(
-        *HIT_FIELDS[:12],
-        F.round(clamp(F.coalesce("_qcov", from_length("ql"))), 4).alias("query_coverage"),
-        F.round(clamp(F.coalesce("_tcov", from_length("tl"))), 4).alias("target_coverage"),
     )
+    # The generator settles the fields: conditions and rules above it read columns instead of parsing again.
+    wide = lines.select(F.inline(F.array(fields))).filter((F.col("_n") >= 3) & F.col("identity").isNotNull() & (F.col("query") != ""))
+    from_length = lambda length: F.when(F.col(length) > 0, 100.0 * F.col("alnlen") / F.col(length))
+    rated = wide.select(*HIT_FIELDS[:12], F.inline(F.array(F.struct(F.coalesce("_qcov", from_length("ql")).alias("_q"), F.coalesce("_tcov", from_length("tl")).alias("_t")))))
+    return rated.select(*HIT_FIELDS[:12], F.round(clamp(F.col("_q")), 4).alias("query_coverage"), F.round(clamp(F.col("_t")), 4).alias("target_coverage"))
 
 
 def admitted(hits: DataFrame, floor: float, min_coverage: float, exclude_self: bool = True) -> DataFrame:

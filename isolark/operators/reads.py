@@ -20,10 +20,12 @@ def settled(df: DataFrame) -> DataFrame:
 def prepare_reads(reads: DataFrame, policy: Q.ReadPolicy = Q.POLICY, primers: dict[str, str] | None = None) -> DataFrame:
     """Trim, cut primers, mask, measure, classify and orient; narrow, no shuffle.
 
-    Needs (read_id, sequence_id, direction, primer, sequence, qualities,
+    Reads without qualities keep everything between their first and last called
+    base, and only ambiguous bases are masked. Needs (read_id, sequence_id, direction, primer, sequence, qualities,
     quality_source, mixed_peak_percent).
     """
-    trimmed = reads.withColumn("t", Q.mott_trim("sequence", "qualities", policy.min_quality))
+    known = ~F.col("quality_source").isin(*Q.NO_QUALITY)
+    trimmed = reads.withColumn("t", F.when(known, Q.mott_trim("sequence", "qualities", policy.min_quality)).otherwise(Q.trim_unverified("sequence")))
     trimmed = trimmed.withColumns(
         {
             "trim_start": F.col("t.start"),
@@ -40,13 +42,13 @@ def prepare_reads(reads: DataFrame, policy: Q.ReadPolicy = Q.POLICY, primers: di
             "trimmed_q": F.slice("_q", F.col("_cut") + 1, F.greatest(F.lit(0), F.size("_q") - F.col("_cut"))),
         }
     )
-    masked = cut.withColumn("m", Q.mask_low_quality("trimmed", "trimmed_q", policy.mask_quality))
+    masked = cut.withColumn("m", F.when(known, Q.mask_low_quality("trimmed", "trimmed_q", policy.mask_quality)).otherwise(Q.mask_unverified("trimmed", "trimmed_q")))
     measured = masked.withColumns(
         {
             "masked_sequence": F.col("m.sequence"),
             "masked_q": F.col("m.qualities"),
             "masked_bases": F.col("m.masked"),
-            "run": Q.longest_run(Q.weak_flags("trimmed", "trimmed_q", policy.mask_quality)),
+            "run": Q.longest_run(F.when(known, Q.weak_flags("trimmed", "trimmed_q", policy.mask_quality)).otherwise(F.transform(Q.bases("trimmed"), lambda b: ~b.isin("A", "C", "G", "T")))),
             "length": F.length("m.sequence"),
             "mean_q": Q.mean_quality("m.qualities"),
             "expected_errors": Q.expected_errors("m.sequence", "m.qualities"),

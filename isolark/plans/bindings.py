@@ -192,7 +192,7 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "removal_requests": """
         SELECT o_orderkey AS line, CASE WHEN o_orderkey % 41 = 0 THEN ' ' WHEN o_orderkey % 43 = 0 THEN concat('Z', cast(o_custkey AS string)) ELSE concat('C', cast(o_custkey AS string)) END AS requested_id
-        FROM {orders} WHERE o_orderkey % 5 = 0""",
+        FROM {orders}""",
     # --- marker quality classes and manual reviews
     "marker_qc": """
         SELECT concat('C', cast(c_custkey AS string)) AS sequence_id, CASE c_custkey % 4 WHEN 0 THEN 'PASS_HIGH_CONFIDENCE' WHEN 1 THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL_QC' END AS qc_class
@@ -235,7 +235,7 @@ VIEWS: dict[str, str] = {
     "aligned": """
         SELECT doc_id, concat('D', cast(doc_id AS string)) AS id, doc_id % 3 = 0 AS is_anchor, source AS grp, cast(floor(doc_id / 10) AS bigint) AS context,
                translate(lower(text), 'acgtbdefhijklmnopqrsuvwxyz ', 'ACGTACGTACGTACGTACGTACGTAC-') AS aligned
-        FROM {documents} WHERE n_chars < 2000""",
+        FROM {documents}""",
     # --- chromatogram reads: one conversation turn = one read, letters as bases, a Phred+33 string of the same length
     "reads": """
         SELECT conv_id, turn, concat('I', cast(conv_id AS string)) AS sequence_id, concat('I', cast(conv_id AS string), '_', cast(turn AS string)) AS read_id,

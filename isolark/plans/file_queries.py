@@ -97,12 +97,12 @@ def unpivot_sample_map(spark, sf):
     """
 SELECT id, taxonomy, cast(nearest_identity AS double) AS nearest_identity FROM (
   SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NOT NULL THEN b.t ELSE a.t END AS taxonomy, CASE WHEN b.id IS NOT NULL THEN b.n ELSE a.n END AS nearest_identity
-  FROM (SELECT id, nullif(taxonomy, 'NA') AS t, nearest_identity AS n FROM {assessment} WHERE seq_no % 3 > 0) a
+  FROM (SELECT id, nullif(taxonomy, 'NA') AS t, nearest_identity AS n FROM {assessment} WHERE seq_no % 3 > 0 OR seq_no % 2 = 1) a
   FULL JOIN (SELECT id, nullif(taxonomy, 'NA') AS t, priority_identity AS n FROM {assessment} WHERE seq_no % 2 = 0) b ON a.id = b.id) x""",
 )
 def assessment_import(spark, sf):
     rows = view(spark, sf, "assessment")
-    old = rows.filter("seq_no % 3 > 0").select(F.col("id").alias("ID"), F.col("taxonomy").alias("GTDBTaxonomy"), F.col("nearest_identity").alias("NearestIdentity"))
+    old = rows.filter("seq_no % 3 > 0 OR seq_no % 2 = 1").select(F.col("id").alias("ID"), F.col("taxonomy").alias("GTDBTaxonomy"), F.col("nearest_identity").alias("NearestIdentity"))
     new = rows.filter("seq_no % 2 = 0").select("id", "taxonomy", F.col("priority_identity").alias("nearest_identity"))
     names = {"id": ("id", "ID"), "taxonomy": ("taxonomy", "GTDBTaxonomy", "Taxonomy"), "nearest_identity": ("nearest_identity", "NearestIdentity")}
     merged = files.import_assessments([old, new], names)

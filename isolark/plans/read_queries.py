@@ -289,7 +289,7 @@ def _fragments(spark, sf):
         seq, quals = F.substring("sequence", start, n), F.slice("qualities", start, n)
         return rows.select(
             F.concat(F.lit("F"), "read_id").alias("sequence_id"), F.concat("read_id", F.lit(tag)).alias("read_id"), F.lit(True).alias("kept"), seq.alias("oriented"), quals.alias("oriented_q")
-        ).filter(n >= 60)
+        )
 
     return piece("a", F.lit(1), cut).unionByName(piece("b", size - cut + 1, cut))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import struct
 
 import pandas as pd
@@ -109,7 +110,7 @@ def _decode_trace(data: bytes) -> dict:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Chromatogram files as one row each; undecodable files keep their error."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ab1,abi}").load(path)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[aA][bB]1,[aA][bB][iI],[aA][bB]1.[gG][zZ],[aA][bB][iI].[gG][zZ]}").load(path)
     names = [c.split()[0] for c in _TRACE.split(", ")]
 
     def decode(batches):
@@ -117,10 +118,12 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for file, content in zip(pdf["path"], pdf["content"]):
                 blank = dict.fromkeys(names)
-                stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                name = file.rsplit("/", 1)[-1]
+                packed = name.lower().endswith(".gz")
+                stem = (name[:-3] if packed else name).rsplit(".", 1)[0]
                 try:
-                    rows.append({**blank, **_decode_trace(bytes(content)), "path": file, "read_id": stem})
-                except (ValueError, struct.error, IndexError) as exc:
+                    rows.append({**blank, **_decode_trace(gzip.decompress(content) if packed else bytes(content)), "path": file, "read_id": stem})
+                except (ValueError, struct.error, IndexError, OSError, EOFError) as exc:
                     rows.append({**blank, "path": file, "read_id": stem, "error": str(exc)})
             yield pd.DataFrame(rows, columns=names)
 

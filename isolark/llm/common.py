@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isolark.session import cut_lineage
+
 #: Code points of text that a Python stage works on at once.
 BLOCK_CHARS = 4_000_000
 #: Chunks of text that a Python worker remembers before it starts anew (about 200 MB).
@@ -39,6 +41,17 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; its shuffle files go when it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(key, before)
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of ``batch`` of about ``limit`` code points, never fewer than one row."""
     lengths = np.cumsum(pc.utf8_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))

@@ -53,14 +53,25 @@ def grams(data: bytes) -> np.ndarray:
     return (h % SLOTS).astype(np.int64)
 
 
+#: Slots are counted in so many turns, which bounds the driver's memory.
+TURNS = 8
+
+
 def surroundings(docs: list[bytes]) -> tuple[np.ndarray, int]:
     """How many different n-grams stand before each n-gram, and their sum."""
-    pairs = np.zeros(0, np.int64)
-    for at in range(0, len(docs), 250):
-        own = [g for g in map(grams, docs[at : at + 250]) if len(g) > GRAM]
-        if own:
-            pairs = np.unique(np.concatenate([pairs, *((g[GRAM:] << 22) | g[:-GRAM] for g in own)]))
-    return np.bincount(pairs >> 22, minlength=SLOTS), max(1, len(pairs))
+    counts, total = np.zeros(SLOTS, np.int32), 0
+    for turn in range(TURNS):
+        own = []
+        for data in docs:
+            g = grams(data)
+            if len(g) > GRAM:
+                here, before = g[GRAM:], g[:-GRAM]
+                own.append((((here << 22) | before))[here % TURNS == turn])
+        pairs = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+        pairs >>= 22
+        counts += np.bincount(pairs, minlength=SLOTS).astype(np.int32)
+        total += len(pairs)
+    return counts, max(1, total)
 
 
 def stretches(data: bytes, telling: np.ndarray) -> list[bytes]:
@@ -152,8 +163,10 @@ def train(rows: list[tuple[str, int]], shares: dict[int, float] | None = None) -
     if not all(by_label.values()):
         return None
     counts, totals = zip(*(surroundings(by_label[v]) for v in (0, 1)), strict=True)
-    ratio = ((counts[1] + 0.5) / totals[1]) / ((counts[0] + 0.5) / totals[0])
-    telling = (ratio > RATIO) & (counts[1] >= SUPPORT)
+    telling = counts[1] >= SUPPORT
+    some = np.flatnonzero(telling)
+    telling[some] = (counts[1][some] + 0.5) / totals[1] > RATIO * (counts[0][some] + 0.5) / totals[0]
+    del counts
     rng = np.random.default_rng(5)
     plain = [w for d in by_label[0] for w in windows(d)]
     # What tells toxic text apart stands in ordinary text by chance too; its dictionary must not hold it.

@@ -100,9 +100,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
     """
     hint = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
     source = texts(docs, "doc_id")
-    order = F.xxhash64("doc_id", "text")
-    chosen = source.where(F.col("text").rlike(hint)).orderBy(order).limit(sample // 2).union(source.orderBy(order).limit(sample - sample // 2))
-    rows = chosen.select("text").toLocalIterator()
+    order = F.xxhash64("doc_id")
+    # Ids are drawn before any text is moved.
+    drawn = source.where(F.col("text").rlike(hint)).select("doc_id").orderBy(order).limit(sample // 2).union(source.select("doc_id").orderBy(order).limit(sample - sample // 2))
+    rows = source.where(F.col("doc_id").isin([r[0] for r in drawn.distinct().collect()])).select("text").toLocalIterator()
     random, ordinary = Markov(), Markov()
     for (text,) in rows:
         spans = base_spans(text)

@@ -114,7 +114,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, limit: int = SAMPLE_WINDOWS,
     """Train on the windows of at most ``sample`` documents with digits or at signs, chosen by a hash, ``limit`` windows at most."""
     source = texts(docs, "doc_id").where(F.col("text").rlike("[0-9@]"))
     numbers, gold, count = [], [], 0
-    for (text,) in source.orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("text").toLocalIterator():
+    drawn = [r[0] for r in source.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).collect()]  # before any text is moved
+    rows = source.where(F.col("doc_id").isin(drawn)).select("text", "doc_id").toLocalIterator()
+    for (text, _) in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text)):
         points = code_points(text)
         starts = window_starts(points)
         labels = gold_labels(len(points), base_spans(text))

@@ -212,13 +212,13 @@ def _scan(tagger: Tagger):
             for part, block in blocks(batch):
                 base = [base_spans(t) for t in block]
                 model = tagged_spans(tagger, block)
-                rows = [sorted(b + added(t, b, m)) for t, b, m in zip(block, base, model, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), span_column(rows)], ["doc_id", "spans"])
+                more = [added(t, b, m) for t, b, m in zip(block, base, model, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), span_column(base, more)], ["doc_id", "spans"])
 
     return run
 
 
 def scan(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """doc_id and ``spans``, an array of (kind, start, end)."""
+    """doc_id and ``spans``, an array of (kind, start, end, base)."""
     source = texts(docs, "doc_id")
     return map_batches(source, _scan(tagger), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

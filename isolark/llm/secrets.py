@@ -138,12 +138,14 @@ def added_spans(text: str, base: list[tuple[int, int, str, int]], ratio: np.ndar
     return found
 
 
-SCHEMA = "spans array<struct<kind: string, start: int, end: int>>"
-SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+SCHEMA = "spans array<struct<kind: string, start: int, end: int, base: boolean>>"
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
 
-def span_column(rows: list[list[tuple[int, int, str, int]]]) -> pa.Array:
-    return pa.array([[{"kind": kind, "start": start, "end": end} for start, _, kind, end in spans] for spans in rows], pa.list_(SPAN))
+def span_column(base: list[list[tuple[int, int, str, int]]], added: list[list[tuple[int, int, str, int]]]) -> pa.Array:
+    """All spans of each text in their order; ``base`` tells those of the fixed forms from those of a model."""
+    rows = [sorted([*((*s, True) for s in b), *((*s, False) for s in a)]) for b, a in zip(base, added, strict=True)]
+    return pa.array([[{"kind": kind, "start": start, "end": end, "base": own} for start, _, kind, end, own in spans] for spans in rows], pa.list_(SPAN))
 
 
 def redacted(text: str, spans: list[tuple[int, int, str, int]], mark: str) -> str:
@@ -159,16 +161,14 @@ def _scan(ratio: np.ndarray, threshold: float, mark: str | None):
     def run(batches):
         for batch in batches:
             for part, block in blocks(batch):
-                rows = []
-                for text in block:
-                    base = base_spans(text)
-                    rows.append(sorted(base + added_spans(text, base, ratio, threshold)))
+                base = [base_spans(t) for t in block]
+                added = [added_spans(t, b, ratio, threshold) for t, b in zip(block, base, strict=True)]
                 names, columns = part.schema.names, part.columns
                 if mark is None:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), span_column(rows)], ["doc_id", "spans"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), span_column(base, added)], ["doc_id", "spans"])
                 else:
                     absent = part.column("text").is_null().to_pylist()
-                    masked = [None if a else redacted(t, s, mark) for a, t, s in zip(absent, block, rows, strict=True)]
+                    masked = [None if a else redacted(t, sorted(b + s), mark) for a, t, b, s in zip(absent, block, base, added, strict=True)]
                     columns = [pa.array(masked, pa.string()) if n == "text" else c for n, c in zip(names, columns, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -176,7 +176,7 @@ def _scan(ratio: np.ndarray, threshold: float, mark: str | None):
 
 
 def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and ``spans``, an array of (kind, start, end)."""
+    """doc_id and ``spans``, an array of (kind, start, end, base)."""
     source = texts(docs, "doc_id")
     return map_batches(source, _scan(ratio, threshold, None), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
@@ -189,13 +189,13 @@ def redact(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, mar
 
 
 def digest(scanned: DataFrame, kinds: tuple[str, ...], base: int) -> DataFrame:
-    """The contract's columns: a count per base kind, the digest of the base spans, and all spans as text."""
+    """The contract's columns: the base spans counted by kind, the digest of the base spans, and all spans as text."""
 
     def written(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind):
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    own = F.filter("spans", lambda s: s["kind"].isin(*kinds[:base]))
+    own = F.filter("spans", lambda s: s["base"])
     return scanned.select("doc_id", *map(count, kinds[:base]), F.sha2(written(own), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

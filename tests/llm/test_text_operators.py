@@ -218,6 +218,26 @@ def test_tagger_learns_the_base_spans(docs, odd, none):
     assert pii.scan(odd, tagger).count() == odd.count() and pii.scan(none, tagger).count() == 0
 
 
+def test_op1_counts_and_digests_only_base_spans(spark, docs, odd, monkeypatch):
+    eager = Tagger(1 + 2 * len(pii.KINDS))
+    eager.p["bias"][7] = 9  # every digit that no base span touches is called a phone
+    monkeypatch.setattr(pii, "fit", lambda docs: eager)
+    rows = [(str(i), t) for i, t in enumerate([*HARD, "room 12 of 20", None, "a@b.cd and 4111 1111 1111 1111"])]
+    table = spark.createDataFrame(rows, "doc_id string, text string").unionByName(odd.select(odd.doc_id.cast("string"), "text")).unionByName(docs.select(docs.doc_id.cast("string"), "text"))
+    monkeypatch.setattr(queries, "documents", lambda *_: table)
+    want, more = [], 0
+    for doc_id, text in plain(table):
+        base = plain_pii(text)
+        own = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base)
+        want.append((doc_id, *(sum(s[2] == k for s in base) for k in pii.KINDS), hashlib.sha256(own.encode()).hexdigest()))
+    got = queries.op1_pii(spark, SF).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == sorted(want, key=str)
+    for r in got:
+        spans = r.spans.split(",") if r.spans else []
+        more += len(spans) > r.n_email + r.n_ip + r.n_card + r.n_phone
+    assert more > 10
+
+
 def test_stretches_join_windows_globally():
     scores = np.zeros((2, pii.WINDOW, 3), np.float32)
     scores[0, :, 1], scores[1, :, 1] = 1.0, 3.0

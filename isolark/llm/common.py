@@ -8,6 +8,7 @@ the partition nor on how long single texts are grouped.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolark.session import cut_lineage
+from isolark.session import shared_folder
 
 #: Code points of text that a Python stage works on at once.
-BLOCK_CHARS = 4_000_000
-#: Chunks of text that a Python worker remembers before it starts anew (about 200 MB).
+BLOCK_CHARS = 1_500_000
+#: Bytes that a Python worker may spend on remembered chunks of text in a task, and those it keeps for the next one.
+MEMO_BYTES, MEMO_REST = 80 << 20, 20 << 20
+#: Words that a token count remembers before it starts anew.
 MEMO_ENTRIES = 700_000
 
 
@@ -43,13 +46,39 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; its shuffle files go when it is written."""
+    return write_table(df, cleanup=True)[0]
+
+
+def write_table(df: DataFrame, cleanup: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, with its path; with ``cleanup`` its shuffle files go when it is written."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
-    conf.set(key, "true")
+    conf.set(key, "true" if cleanup else before)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/isolark-{uuid.uuid4().hex}"
     try:
-        return cut_lineage(df)
+        df.write.parquet(path)
     finally:
         conf.set(key, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables written on the way to a result, each deleted when all that reads it is written itself."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        written, path = write_table(df, cleanup=True)
+        self.paths[id(written)] = (written, path)
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            written, path = self.paths.pop(id(table))
+            jvm, session = written.sparkSession._jvm, written.sparkSession._jsparkSession
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

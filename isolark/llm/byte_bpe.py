@@ -118,13 +118,16 @@ def encoder_of(ranks_file: str, pattern: str) -> Encoder:
 def _encode(ranks_file: str, pattern: str):
     def run(batches):
         encoder = encoder_of(ranks_file, pattern)
-        for batch in batches:
-            for part, block in blocks(batch):
-                ids, counts = encoder(block)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                kept = [part.column(name) for name in part.schema.names if name != "text"]
-                names = [name for name in part.schema.names if name != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], [*names, "ids"])
+        try:
+            for batch in batches:
+                for part, block in blocks(batch):
+                    ids, counts = encoder(block)
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    kept = [part.column(name) for name in part.schema.names if name != "text"]
+                    names = [name for name in part.schema.names if name != "text"]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], [*names, "ids"])
+        finally:
+            encoder.memo.trim()
 
     return run
 

@@ -13,11 +13,11 @@ what one replay over the whole corpus would.
 from __future__ import annotations
 
 import heapq
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
-from isolark.llm.common import MEMO_ENTRIES, gather
+from isolark.llm.common import MEMO_BYTES, MEMO_REST, gather
 
 NONE = np.int32(2**31 - 1)
 
@@ -180,28 +180,47 @@ def lockstep(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndar
 
 
 class Memo:
-    """Token ids of chunks of text, each distinct chunk encoded once per task while the memo lasts."""
+    """Token ids of chunks of text, each distinct chunk encoded once while the memo holds it.
 
-    def __init__(self, encode, entries: int = MEMO_ENTRIES):
-        self.encode, self.entries = encode, entries
-        self.clear()
+    The memo is bounded in bytes, those of its arrays included. When it is full,
+    the chunks that came first stay, which in text are the frequent ones.
+    """
 
-    def clear(self) -> None:
+    #: Bytes of an entry besides its letters and ids: string, number, place in the dictionary, offset.
+    ENTRY = 49 + 32 + 110 + 8
+
+    def __init__(self, encode, limit: int = MEMO_BYTES):
+        self.encode, self.limit, self.size = encode, limit, 0
         self.index: dict[str, int] = {}
         self.values, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def cost(self, chunks) -> int:
+        return sum(map(len, chunks)) + self.ENTRY * len(chunks)
+
+    def trim(self, limit: int = MEMO_REST) -> None:
+        """Keep the first entries, about ``limit`` bytes of them; at the end of a task, to give memory back."""
+        if self.size > limit:
+            kept = len(self.index) * limit // self.size
+            self.index = dict(islice(self.index.items(), kept))
+            self.offsets = self.offsets[: kept + 1].copy()
+            self.values = self.values[: self.offsets[-1]].copy()
+            self.size = self.cost(self.index) + 4 * len(self.values)
+
     def __call__(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other and how many each text has."""
         flat = list(chain.from_iterable(cut))
         fresh = list(set(flat) - self.index.keys())
-        if len(self.index) + len(fresh) > self.entries:
-            self.clear()
-            fresh = list(set(flat))
+        own = self.cost(fresh)
+        if self.size + own > self.limit:
+            self.trim(self.limit // 2)
+            fresh = list(set(flat) - self.index.keys())
+            own = self.cost(fresh)
         if fresh:
             values, offsets = self.encode(fresh)
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
             self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
             self.values = np.concatenate([self.values, values])
+            self.size += own + 4 * len(values)
         codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         ids, lengths = gather(self.values, self.offsets, codes)
         chunks = np.fromiter(map(len, cut), np.int64, len(cut))

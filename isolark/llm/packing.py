@@ -228,11 +228,14 @@ def _pack(file: str, window: int, end_id: int, open_limit: int):
         tokenize = tokenizer_of(file)
         packer = Packer(window, open_limit, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.int32)
-        for batch in batches:
-            for part, block in blocks(batch):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenize(block), strict=True):
-                    packer.add(doc_id, np.concatenate([ids, end]))
-                yield from emit(packer.drain())
+        try:
+            for batch in batches:
+                for part, block in blocks(batch):
+                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokenize(block), strict=True):
+                        packer.add(doc_id, np.concatenate([ids, end]))
+                    yield from emit(packer.drain())
+        finally:
+            tokenize.memo.trim()
         packer.pour(0)
         yield from emit(packer.drain())
 

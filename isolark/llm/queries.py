@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, secrets, shingle_join, token_counts, toxicity, vector_search
+from isolark.llm import byte_bpe, exact_dedup, hard_negatives, language, packing, pii, prefix_trie, rank_array, secrets, shingle_join, token_counts, toxicity, vector_search
 from isolark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,49 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so every distinct text is encoded here."""
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), token_counts.fresh_cache(spark))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+     o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY p) AS own FROM t GROUP BY conv_id),
+     digits AS (SELECT conv_id, own, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS letters FROM o),
+     h AS (SELECT conv_id, own, (xor(list_reduce(list_prepend(4294967295::BIGINT, letters),
+                  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 9)::BIGINT AS h FROM digits),
+     r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+     m AS (SELECT conv_id, len(turns) AS whole, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+     g AS (SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole = depth), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+     c AS (SELECT path[1:depth - 1] AS above, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+     v AS (SELECT g.*, coalesce(c.n_children, 0) AS n_children, up.conv_id AS parent_conv_id, CASE WHEN g.depth = 0 THEN 0 ELSE (g.n_convs - 1) * octet_length(encode(g.path[g.depth].text)) END AS saved
+           FROM g LEFT JOIN c ON c.above = g.path LEFT JOIN g up ON g.depth > 0 AND up.path = g.path[1:g.depth - 1]),
+     a AS (SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth::BIGINT AS depth, v.parent_conv_id, v.n_convs, v.n_children, a.n_leaves, a.saved_tokens, v.ends_sha256 FROM v JOIN a ON a.path = v.path
+"""
+
+
+@query
+def op12_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    return rank_array.digests(rank_array.decode(rank_array.encode(documents(spark, sf_dir), file), file))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+           FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

@@ -1,18 +1,27 @@
 """Language identification by hierarchical discrimination.
 
 Hashed character n-grams of the letters feed linear support vector machines: a
-first set separates language families, then one machine per language, one
-versus the rest of its family, separates the closely related ones. All machines
-together are one weight matrix, so a text is read once and whole.
+first set separates language families, then one machine for every two languages
+of a family, one versus one, separates the closely related ones. The language
+that wins most of its pairs is taken, the larger sum of margins on a tie. All
+machines together are one weight matrix, so a text is read once and whole.
+
+All languages of the table are learned. The sample is bounded by rows alone:
+``SAMPLE`` documents are shared out evenly, ``PER_LANGUAGE`` and ``LEAST`` being
+the most and the fewest of one language. Learning holds sparse counts and lays
+out a few rows at a time.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
-and so is every text if nothing could be learned; rows pass through one by one.
-A language that no family of the table holds is a family of its own.
+and so is every text if nothing could be learned; rows pass through one by one,
+repeated ones and those without an id too; an empty table stays empty; a text of
+any length is read whole; other columns, whatever their names, are ignored. A
+language that no family of the table holds is a family of its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +46,20 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3)
-#: Documents of each language to learn from, languages, and passes over the documents.
-PER_LANGUAGE, LANGUAGES, EPOCHS = 400, 64, 12
+#: Documents to learn from in all, of one language at most and at least, and passes over them.
+SAMPLE, PER_LANGUAGE, LEAST, EPOCHS = 12_000, 400, 20, 12
 LETTER = regex.compile(r"\p{L}")
 #: What a letter counts as; everything else in ASCII is a blank.
 PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 
 
-def balanced(docs: DataFrame, label: str, per_class: int, classes: int) -> DataFrame:
-    """About ``per_class`` rows of each of the ``classes`` most frequent labels, chosen by a hash of the id."""
-    counts = {r[0]: r[1] for r in docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()}
+def balanced(docs: DataFrame, label: str, per_class: int, total: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """About ``per_class`` rows of each label, fewer if there are so many labels that they would be more than ``total``; chosen by a hash of the id."""
+    counts = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}  # one number per label, which a model has to hold anyway
     if not counts:
         return docs.limit(0)
-    share = F.create_map(*[F.lit(x) for key, n in counts.items() for x in (key, int(min(1.0, per_class / n) * 1_000_000))])
+    own = max(least, min(per_class, total // len(counts)))
+    share = F.create_map(*[F.lit(x) for key, n in counts.items() for x in (key, int(min(1.0, own / n) * 1_000_000))])
     return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.element_at(share, F.col(label)), F.lit(0)))
 
 
@@ -70,10 +80,11 @@ def grams(block: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights (buckets, machines) and biases; machines are the families and then the languages."""
+    """Weights (buckets, machines) and biases; machines are the families and then the ``pairs`` of languages of one family."""
 
     families: list[str]
     languages: list[str]
+    pairs: list[tuple[int, int]]
     weights: np.ndarray
     bias: np.ndarray
 
@@ -86,18 +97,23 @@ class Model:
 
     def predict(self, block: list[str]) -> list[tuple[str, float]]:
         margins = self.margins(block)
-        out = []
         f = len(self.families)
         of = [self.families.index(FAMILY_OF.get(x, x)) for x in self.languages]
-        for text, m in zip(block, margins, strict=True):
+        members = [[i for i, x in enumerate(of) if x == family] for family in range(f)]
+        duels = [[(at, a, b) for at, (a, b) in enumerate(self.pairs, f) if of[a] == family] for family in range(f)]
+        out = []
+        for text, m in zip(block, margins.tolist(), strict=True):
             if not LETTER.search(text):
                 out.append(("und", 0.0))
                 continue
-            family = int(m[:f].argmax())
-            own = [i for i, x in enumerate(of) if x == family]
-            best = max(own, key=lambda i: m[f + i])
-            sure = share(m[:f], family) * (share(m[[f + i for i in own]], own.index(best)) if len(own) > 1 else 1.0)
-            out.append((self.languages[best], float(sure)))
+            family = max(range(f), key=m.__getitem__)
+            won = {i: [0, 0.0, 1.0] for i in members[family]}  # pairs won, sum of margins, chance of the closest pair
+            for at, a, b in duels[family]:
+                for i, margin in ((a, m[at]), (b, -m[at])):
+                    own = won[i]
+                    won[i] = [own[0] + (margin > 0), own[1] + margin, min(own[2], 1 / (1 + exp(-2 * max(-300.0, min(300.0, margin)))))]
+            best = max(won, key=lambda i: (won[i][0], won[i][1], -i))
+            out.append((self.languages[best], share(np.array(m[:f]), family) * won[best][2]))
         return out
 
 
@@ -106,33 +122,51 @@ def share(margins: np.ndarray, chosen: int) -> float:
     return float(e[chosen] / e.sum())
 
 
-def features(block: list[str]) -> np.ndarray:
-    hashed, starts = grams(block)
-    out = np.zeros((len(block), BUCKETS), np.float32)
-    for i in range(len(block)):
-        out[i] = np.bincount(hashed[:, starts[i] : starts[i + 1]].ravel(), minlength=BUCKETS) / (len(GRAMS) * (starts[i + 1] - starts[i]))
-    return out
+class Sample:
+    """Frequencies of n-grams of the texts to learn from, as sparse rows."""
+
+    def __init__(self, sampled: list[str]):
+        self.buckets, self.values = [], []
+        for at in range(0, len(sampled), 200):
+            block = sampled[at : at + 200]
+            hashed, starts = grams(block)
+            for i in range(len(block)):
+                count = np.bincount(hashed[:, starts[i] : starts[i + 1]].ravel(), minlength=BUCKETS)
+                own = np.flatnonzero(count)
+                self.buckets.append(own.astype(np.uint16))
+                self.values.append((count[own] / (len(GRAMS) * (starts[i + 1] - starts[i]))).astype(np.float32))
+
+    def rows(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(own), BUCKETS), np.float32)
+        for row, i in zip(out, own.tolist(), strict=True):
+            row[self.buckets[i]] = self.values[i]
+        return out
 
 
 #: Frequencies of n-grams are small numbers; the machines see them enlarged.
 SCALE = 30.0
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int, penalty: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by averaged subgradient steps on the hinge loss, both classes weighing the same."""
+def svm(sample: Sample, chosen: np.ndarray, y: np.ndarray, epochs: int, penalty: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Linear support vector machines over the ``chosen`` rows, one per column of ``y``, by averaged subgradient steps on the hinge loss; both classes weigh the same."""
     rng = np.random.default_rng(seed)
-    w, b, mean_w, mean_b, n = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0, 0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    w, b = np.zeros((BUCKETS, y.shape[1]), np.float32), np.zeros(y.shape[1])
+    mean_w, mean_b, n = np.zeros_like(w), np.zeros_like(b), 0
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0))) * len(y)
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 32):
             own = order[at : at + 32]
+            x = sample.rows(chosen[own])
             rate = 2.0 / (1 + epoch)
-            miss = (y[own] * (SCALE * (x[own] @ w) + b) < 1) * y[own] * weight[own]
-            w += rate * (SCALE * (miss @ x[own]) / len(own) - penalty * w)
-            b += 0.1 * rate * float(miss.mean())
+            miss = ((y[own] * (SCALE * (x @ w) + b) < 1) * y[own] * weight[own]).astype(np.float32)
+            w *= np.float32(1 - rate * penalty)
+            w += np.float32(rate * SCALE / len(own)) * (x.T @ miss)
+            b += 0.1 * rate * miss.mean(axis=0)
             if epoch >= epochs // 2:
-                mean_w, mean_b, n = mean_w + w, mean_b + b, n + 1
+                mean_w += w
+                mean_b += b
+                n += 1
     return SCALE * mean_w / max(1, n), mean_b / max(1, n)
 
 
@@ -141,25 +175,27 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model | None:
     rows = [(t, lang) for t, lang in rows if LETTER.search(t)]
     if not rows:
         return None
-    x = np.concatenate([features([t for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)])
+    sample = Sample([t for t, _ in rows])
     languages = sorted({lang for _, lang in rows})
     families = sorted({FAMILY_OF.get(lang, lang) for lang in languages})
-    own = np.array([families.index(FAMILY_OF.get(lang, lang)) for _, lang in rows])
-    spoken = np.array([languages.index(lang) for _, lang in rows])
-    machines = []
-    for i in range(len(families)):
-        machines.append(svm(x, np.where(own == i, 1, -1), epochs) if len(families) > 1 else (np.zeros(BUCKETS), 0.0))
-    for i, lang in enumerate(languages):
-        relatives = own == families.index(FAMILY_OF.get(lang, lang))
-        several = len(set(spoken[relatives])) > 1
-        machines.append(svm(x[relatives], np.where(spoken[relatives] == i, 1, -1), epochs) if several else (np.zeros(BUCKETS), 0.0))
-    return Model(families, languages, np.stack([w for w, _ in machines], axis=1).astype(np.float32), np.array([b for _, b in machines]))
-
-
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    """Learn from about ``per_language`` learnable documents of each language."""
+    of = [families.index(FAMILY_OF.get(lang, lang)) for lang in languages]
+    number = {lang: i for i, lang in enumerate(languages)}
+    spoken = np.array([number[lang] for _, lang in rows])
+    own = np.array(of)[spoken]
+    sides = np.where(own[:, None] == np.arange(len(families)), 1, -1)
+    weights, bias = svm(sample, np.arange(len(rows)), sides, epochs) if len(families) > 1 else (np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+    machines = [(weights, bias)]
+    pairs = [(a, b) for b in range(len(languages)) for a in range(b) if of[a] == of[b]]
+    for a, b in pairs:
+        two = np.flatnonzero((spoken == a) | (spoken == b))
+        machines.append(svm(sample, two, np.where(spoken[two] == a, 1, -1)[:, None], epochs))
+    return Model(families, languages, pairs, np.concatenate([w for w, _ in machines], axis=1).astype(np.float32), np.concatenate([b for _, b in machines]))
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> Model | None:
+    """Learn from about ``per_language`` learnable documents of each language, about ``total`` in all."""
     known = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = [(r.text, r.lang) for r in balanced(known, "lang", per_language, languages).select("text", "lang", "doc_id").toLocalIterator()]
+    rows = [(r.text, r.lang) for r in balanced(known, "lang", per_language, total).select("text", "lang", "doc_id").toLocalIterator()]
     return train(sorted(rows))
 
 

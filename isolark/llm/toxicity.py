@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordina
     if len(shares) < 2:
         return None
     # The labels are drawn first, so few texts are joined and none but the drawn ones reach the driver.
-    drawn = balanced(known.where("label = 1"), "label", toxic_docs, 1).union(balanced(known.where("label = 0"), "label", ordinary_docs, 1))
+    drawn = balanced(known.where("label = 1"), "label", toxic_docs, toxic_docs).union(balanced(known.where("label = 0"), "label", ordinary_docs, ordinary_docs))
     ids = {r["doc_id"]: r["label"] for r in drawn.collect()}
     rows = texts(docs, "doc_id").where(F.col("doc_id").isin(list(ids))).orderBy("doc_id", "text").toLocalIterator()
     return train([(r["text"], ids[r["doc_id"]]) for r in rows], shares)

@@ -250,6 +250,36 @@ def held(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def test_languages_of_one_family_are_told_apart_pairwise():
+    """Seventy languages, none dropped: the weights hold one machine per pair of a family, and votes of the pairs decide."""
+    import random
+
+    rng = random.Random(1)
+    related = list(language.FAMILIES["germanic"][:5]) + list(language.FAMILIES["romance"][:4])
+    spoken = related + [f"x{i}" for i in range(61)]
+    words = {lang: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5))) for _ in range(8)] for lang in spoken}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60))
+    model = language.train([(text(lang), lang) for lang in spoken for _ in range(6)], epochs=4)
+    assert sorted(model.languages) == sorted(spoken) and len(model.pairs) == 5 * 4 // 2 + 4 * 3 // 2
+    asked = [(text(lang), lang) for lang in spoken for _ in range(3)]
+    got = model.predict([t for t, _ in asked])
+    assert sum(g == lang for (g, _), (_, lang) in zip(got, asked, strict=True)) >= 0.95 * len(asked)
+    block = [t for t, _ in asked[:40]] + ["", "123 !"]
+    f = len(model.families)
+    for (found, score), m, t in zip(model.predict(block), model.margins(block), block, strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (found, score) == ("und", 0.0)
+            continue
+        family = model.families[int(m[:f].argmax())]
+        own = [i for i, x in enumerate(model.languages) if language.FAMILY_OF.get(x, x) == family]
+        votes = {i: [0, 0.0] for i in own}
+        for at, (a, b) in enumerate(model.pairs):
+            for i, sign in ((a, 1), (b, -1)):
+                if a in votes and b in votes:
+                    votes[i] = [votes[i][0] + (sign * m[f + at] > 0), votes[i][1] + sign * m[f + at]]
+        assert found == model.languages[max(own, key=lambda i: (*votes[i], -i))] and 0 <= score <= 1
+
+
 def test_language_on_held_out_documents(spark, odd, none):
     rows = {r.doc_id: r for r in queries.QUERIES["op3_language"](spark, "/root/testdata/sf0.01").collect()}
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()

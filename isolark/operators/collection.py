@@ -185,3 +185,19 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     numbered = running_number(df, name, [order], "_copy")
     suffix = F.concat(F.col(name), F.lit("__dup"), (F.col("_copy") - 1).cast("string"))
     return numbered.withColumn("unique_name", F.when(F.col("_copy") == 1, F.col(name)).otherwise(suffix)).drop("_copy")
+
+
+def first_taxonomy(sequences: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row per id: its first dataset and its first non-empty taxonomy.
+
+    A taxonomy row counts for a sequence of the same id if it names the same
+    dataset or none. The two cases are two keyed joins with one row per key on
+    the right, so the condition needs no nested loop and no key multiplies rows.
+    Taxonomies of earlier datasets come first, within one those that name it.
+    """
+    stated = taxonomy.filter(F.coalesce("taxonomy", F.lit("")) != "")
+    own = stated.filter("dataset IS NOT NULL").groupBy("id", "dataset").agg(F.min("taxonomy").alias("own"))
+    general = stated.filter("dataset IS NULL").groupBy("id").agg(F.min("taxonomy").alias("general"))
+    lean = sequences.select("id", "dataset").distinct()
+    found = lean.join(own, ["id", "dataset"], "left").join(general, "id", "left").withColumn("taxonomy", F.coalesce("own", "general"))
+    return found.groupBy("id").agg(F.min("dataset").alias("dataset"), F.min_by("taxonomy", F.when(F.col("taxonomy").isNotNull(), F.coalesce("dataset", F.lit("")))).alias("taxonomy"))

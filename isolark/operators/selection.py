@@ -331,3 +331,21 @@ def budgeted_round(rows: DataFrame, anchors: DataFrame, counts: DataFrame, close
     return first.unionByName(
         reserve.select("id", "grp", F.lit("BACKUP").alias("role"), "round_rank", "backup_rank", "backup_for", "tier", F.round("spread", 6).alias("spread"))
     )
+
+
+# The order in which roles are asked for the row that identities are shown against.
+ANCHOR_ROLES = {"PRIMARY": 0, "BACKUP": 1, "SEQUENCED": 2, "COMMITTED": 2, "DIVERSITY_CANDIDATE": 3, "ALTERNATE": 4}
+
+
+def identity_anchor(targets: DataFrame, aligned: DataFrame, group: str) -> DataFrame:
+    """(``group``, anchor): of each group's targets (leaf, role, set_rank, id) the first by role, rank and id whose leaf is in the alignment.
+
+    Unknown roles come last, and a rank that is no number counts as 999. Groups
+    without an aligned target have no anchor.
+    """
+    roles = F.create_map(*[F.lit(x) for pair in ANCHOR_ROLES.items() for x in pair])
+    role = F.coalesce(F.try_element_at(roles, F.upper(F.coalesce("role", F.lit("")))), F.lit(99))
+    rank = F.coalesce(F.col("set_rank").cast("string").try_cast("double").try_cast("int"), F.lit(999))
+    first = F.struct(role.alias("a"), rank.alias("b"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("c"))
+    held = targets.join(aligned.select(F.col("id").alias("leaf")).distinct(), "leaf", "left_semi")
+    return held.groupBy(group).agg(F.min_by("leaf", first).alias("anchor"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isolark.functions import identifiers as I, scores, taxonomy as T
-from isolark.operators import decisions as D, selection as S, trees
+from isolark.operators import collection as C, decisions as D, selection as S, trees
 from isolark.plans.bindings import view
 from isolark.plans.scalar_queries import _FLAGS, _QUALITY
 from isolark.registry import query
@@ -131,3 +131,41 @@ def dataset_registry(spark, sf):
     name = F.when(k == 0, "SILVA").when(k == 1, "Green-Genes2").when(k == 2, "gtdb_r220").when(k == 3, "my set").when(k == 4, "NCBI 16S").otherwise(F.col("p_brand"))
     rows = view(spark, sf, "part").select("p_partkey", name.alias("name"))
     return rows.select("p_partkey", I.dataset_label("name").alias("label"))
+
+
+_SEEN_IN = "SELECT id, dataset FROM {taxa} UNION ALL SELECT id, concat('a', dataset) FROM {taxa} WHERE seq_no % 2 = 0"
+_STATED = """SELECT id, CASE WHEN seq_no % 3 > 0 THEN dataset END AS dataset, CASE WHEN taxonomy <> 'NA' THEN taxonomy ELSE '' END AS taxonomy FROM {taxa}
+  UNION ALL SELECT id, NULL, concat('general;', id) FROM {taxa} WHERE seq_no % 5 = 0
+  UNION ALL SELECT id, concat('a', dataset), concat('second;', id) FROM {taxa} WHERE seq_no % 4 = 0"""
+
+
+@query(
+    "first_taxonomy",
+    f"""
+WITH s AS ({_SEEN_IN}), t AS ({_STATED}),
+j AS (SELECT s.id, s.dataset, t.taxonomy, t.dataset AS named FROM s LEFT JOIN t ON s.id = t.id AND (t.dataset = s.dataset OR t.dataset IS NULL))
+SELECT id, min(dataset) AS dataset, first(taxonomy ORDER BY dataset, named IS NULL, taxonomy) FILTER (taxonomy <> '') AS taxonomy FROM j GROUP BY id""",
+)
+def first_taxonomy(spark, sf):
+    taxa = view(spark, sf, "taxa")
+    seen = taxa.select("id", "dataset").unionByName(taxa.filter("seq_no % 2 = 0").select("id", F.concat(F.lit("a"), "dataset").alias("dataset")))
+    stated = taxa.select("id", F.when(F.col("seq_no") % 3 > 0, F.col("dataset")).alias("dataset"), F.when(F.col("taxonomy") != "NA", F.col("taxonomy")).otherwise("").alias("taxonomy"))
+    general = taxa.filter("seq_no % 5 = 0").select("id", F.lit(None).cast("string").alias("dataset"), F.concat(F.lit("general;"), "id").alias("taxonomy"))
+    second = taxa.filter("seq_no % 4 = 0").select("id", F.concat(F.lit("a"), "dataset").alias("dataset"), F.concat(F.lit("second;"), "id").alias("taxonomy"))
+    return C.first_taxonomy(seen, stated.unionByName(general).unionByName(second))
+
+
+_ROLE = "CASE seq_no % 7 WHEN 0 THEN 'primary' WHEN 1 THEN 'BACKUP' WHEN 2 THEN 'Sequenced' WHEN 3 THEN 'COMMITTED' WHEN 4 THEN 'ALTERNATE' WHEN 5 THEN 'other' END"
+_RANK = "CASE seq_no % 5 WHEN 0 THEN '2' WHEN 1 THEN '1.0' WHEN 2 THEN 'none' WHEN 3 THEN '10' END"
+
+
+@query(
+    "identity_anchor",
+    f"""
+SELECT dataset, id AS anchor FROM (SELECT dataset, id, upper({_ROLE}) AS role, {_RANK} AS r FROM {{seqs}} WHERE id IN (SELECT id FROM {{aligned}} WHERE is_anchor))
+QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY CASE role WHEN 'PRIMARY' THEN 0 WHEN 'BACKUP' THEN 1 WHEN 'SEQUENCED' THEN 2 WHEN 'COMMITTED' THEN 2 WHEN 'ALTERNATE' THEN 4 ELSE 99 END,
+  coalesce(cast(try_cast(r AS double) AS int), 999), id) = 1""",
+)
+def identity_anchor(spark, sf):
+    targets = view(spark, sf, "seqs").select("dataset", "id", F.col("id").alias("leaf"), F.expr(_ROLE).alias("role"), F.expr(_RANK).alias("set_rank"))
+    return S.identity_anchor(targets, view(spark, sf, "aligned").filter("is_anchor"), "dataset")

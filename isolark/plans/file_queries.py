@@ -55,6 +55,27 @@ def scan_taxonomy_table(spark, sf):
     return files.read_taxonomy_table(spark, path)
 
 
+@query(
+    "scan_taxonomy_named",
+    """
+SELECT target AS id, CASE WHEN k = 0 THEN concat(taxonomy, ', "strain" ', target) ELSE taxonomy END AS taxonomy,
+  CASE WHEN k < 2 THEN try_cast(confidence AS double) END AS confidence FROM (SELECT *, cast(substring(target, 2) AS bigint) % 3 AS k FROM {target_taxa}) t WHERE taxonomy <> ''""",
+)
+def scan_taxonomy_named(spark, sf):
+    """One folder, three kinds of files: quoted commas and swapped names, tabs with a commented header, no header at all."""
+    path = _folder(spark)
+    rows = view(spark, sf, "target_taxa").select(F.col("target").alias("id"), "taxonomy", F.col("confidence").cast("string").alias("confidence"))
+    kind = lambda k: rows.filter(F.substring("id", 2, 20).cast("long") % 3 == k)
+    quoted = kind(0).select(F.col("confidence").alias("Score"), F.concat("taxonomy", F.lit(', "strain" '), "id").alias("Taxon"), F.col("id").alias("Feature ID"))
+    quoted.write.csv(f"{path}/a", header=True, quoteAll=True, escape='"')
+    tabbed = kind(1).select(F.concat_ws("\t", F.lit("x"), "id", F.coalesce("confidence", F.lit("NA")), "taxonomy").alias("value"))
+    head = F.lit("# note\tOTU ID\tconfidence\tlineage\n#a comment\n\n")
+    in_file = tabbed.groupBy(F.pmod(F.xxhash64("value"), F.lit(16))).agg(F.concat(head, F.array_join(F.collect_list("value"), "\n")).alias("value"))
+    in_file.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/b")
+    kind(2).select(F.concat_ws("\t", "id", "taxonomy").alias("value")).write.text(f"{path}/c")
+    return files.read_taxonomy_table(spark, f"{path}/*")
+
+
 @query("tree_nodes_file", "SELECT coalesce(is_leaf, false) AS is_leaf, count(*) AS nodes, round(sum(greatest(branch_length, 0)), 4) AS total FROM {tree_nodes} WHERE node_id LIKE 'C%' GROUP BY 1")
 def tree_nodes_file(spark, sf):
     path = _folder(spark)
@@ -107,3 +128,21 @@ def assessment_import(spark, sf):
     names = {"id": ("id", "ID"), "taxonomy": ("taxonomy", "GTDBTaxonomy", "Taxonomy"), "nearest_identity": ("nearest_identity", "NearestIdentity")}
     merged = files.import_assessments([old, new], names)
     return merged.select("id", "taxonomy", F.col("nearest_identity").cast("double").alias("nearest_identity"))
+
+
+@query(
+    "unpivot_by_cell",
+    """
+SELECT concat('iso', conv_id) AS sequence_id, concat('a', conv_id, '_', turn, '.AB1') AS read_file FROM {conversations} WHERE conv_id % 2 = 0
+UNION ALL SELECT concat('iso', conv_id), concat('b', conv_id, '_', turn, '.fastq.gz') FROM {conversations}
+UNION ALL SELECT concat('iso', conv_id), concat('c', conv_id, '_', turn) FROM {conversations}""",
+)
+def unpivot_by_cell(spark, sf):
+    """Files in a column of any name, known by their cells; in file_* columns, known by the name; notes stay out."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    name = lambda p, end: F.concat(F.lit(p), c, F.lit("_"), t, F.lit(end))
+    wide = view(spark, sf, "conversations").select(
+        F.concat(F.lit("iso"), c).alias("isolate_id"), F.when(F.col("conv_id") % 2 == 0, name("a", ".AB1")).otherwise("no trace").alias("remarks"),
+        name("b", ".fastq.gz").alias("trace_file_1"), name("c", "").alias("file_2"), F.lit("a note").alias("note"),
+    )
+    return files.unpivot_sample_map(wide, "isolate_id").select("sequence_id", "read_file")

@@ -383,7 +383,13 @@ def pairwise_identity(spark, sf):
     return R.pairwise_identity(view(spark, sf, "aligned"), "context")
 
 
-@query("refresh_nearest")
+@query(
+    "refresh_nearest",
+    f"""
+SELECT id, hit AS nearest_hit, round(100.0 * same / compared, 4) AS identity, compared FROM (
+  SELECT a.id, b.id AS hit, m.* FROM {{aligned}} a JOIN {{aligned}} b ON a.grp = b.grp AND a.id <> b.id AND NOT a.is_anchor AND b.is_anchor, LATERAL {_MSA} m) q
+WHERE compared > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY 100.0 * same / compared DESC, compared DESC, hit DESC) = 1""",
+)
 def refresh_nearest(spark, sf):
     rows = view(spark, sf, "aligned")
     return R.refresh_nearest(rows.filter("not is_anchor").select("grp", "id", "aligned"), rows.filter("is_anchor").select("grp", "id", "aligned"), "grp")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -154,16 +155,57 @@ def read_ledger(spark: SparkSession, path: str, synonyms: dict[str, tuple[str, .
     return raw.select(*picks, *[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in used])
 
 
+# Names of the columns of a taxonomy table, in lower case without signs.
+ID_NAMES = ("id", "featureid", "feature", "otuid", "otu", "asvid", "asv", "sequenceid", "seqid", "queryid", "accession", "accessionid")
+TAXONOMY_NAMES = ("taxon", "taxonomy", "lineage", "classification", "taxonomiclineage")
+CONFIDENCE_NAMES = ("confidence", "conf", "score", "probability")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(file, head): the first of each file's ``lines`` (file, at, value); ``at`` orders the lines of a file."""
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+
+
+def separated(column: str, comma: Column, width: int) -> Column:
+    """The cells of a delimited line as an array, quotes respected; ``comma`` tells commas from tabs."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda sep: F.from_csv(F.col(column), schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    listed = lambda row: F.array(*[row[f"c{i}"] for i in range(width)])
+    return F.when(comma, listed(cells(","))).otherwise(listed(cells("\t")))
+
+
 def read_taxonomy_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, taxonomy, confidence): optional header, comments skipped, positions 0/1/2 as fallback."""
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    cells = F.split("value", "\t|,(?=[^;]*$)" if path.endswith((".csv", ".csv.gz")) else "\t")
-    rows = lines.select(cells.alias("c"), F.col("value"))
-    head = F.lower(F.regexp_replace(F.element_at("c", 1), "^#", ""))
-    is_header = head.isin("featureid", "feature id", "feature_id", "id", "sequence_id", "name") & F.rlike(F.lower("value"), F.lit("tax"))
-    kept = rows.filter(~is_header & ~F.startswith("value", F.lit("#")))
-    at = lambda i: F.trim(F.try_element_at("c", F.lit(i)))
-    return kept.select(at(1).alias("id"), at(2).alias("taxonomy"), null_text(at(3)).try_cast("double").alias("confidence")).filter("id <> ''")
+    """(id, taxonomy, confidence) of one table or a folder of them, each file by its own header and delimiter.
+
+    A header names the columns in any order, behind a comment sign too; without
+    one the first three cells are meant. Quoted cells may hold the delimiter.
+    Rows without an id or a taxonomy are left out, as are comments.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    remark = F.startswith(F.ltrim("value"), F.lit("#"))
+    names_taxonomy = F.rlike(F.lower("value"), F.lit("taxon|lineage"))
+    lines = text.filter((F.trim("value") != "") & (~remark | names_taxonomy)).withColumn("value", F.when(remark, F.regexp_replace("value", "^\\s*#\\s*", "")).otherwise(F.col("value"))).withColumn("remark", remark)
+    heads = first_lines(lines)
+    # Files are few beside their lines; the widest head bounds the cells that are laid out.
+    width = heads.agg(F.max(F.size(F.split("head", "[,\t]")))).first()[0] or 1
+    bare = F.lower(F.regexp_replace("file", "(?i)[.]gz$", ""))
+    tabs_only = F.contains("head", F.lit("\t")) & ~F.contains("head", F.lit(","))
+    comma = F.when(F.endswith(bare, F.lit(".csv")), ~tabs_only).when(F.rlike(bare, F.lit("[.](tsv|tab|txt)$")), False).otherwise(~F.contains("head", F.lit("\t")))
+    cells = F.transform(separated("head", F.col("comma"), width), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""))
+    place = lambda names: F.nullif(F.array_position(F.transform(F.col("names"), lambda n: F.coalesce(n.isin(*names), F.lit(False))), True), F.lit(0))
+    heads = heads.withColumn("comma", comma).withColumn("names", cells)
+    heads = heads.withColumns({"id_at": place(ID_NAMES), "taxonomy_at": place(TAXONOMY_NAMES), "confidence_at": place(CONFIDENCE_NAMES)})
+    several = F.size(F.filter("names", lambda n: n.isNotNull())) > 1
+    headed = F.col("taxonomy_at").isNotNull() | (F.col("id_at").isNotNull() & several)
+    plan = heads.select(
+        "file", "head", "comma", headed.alias("headed"), F.coalesce("id_at", F.lit(1)).alias("id_at"), F.coalesce("taxonomy_at", F.lit(2)).alias("taxonomy_at"),
+        F.coalesce("confidence_at", F.when(~headed, 3)).alias("confidence_at"),
+    )
+    # A header may come again in a split of its file, and data rows are never the header's text.
+    rows = lines.join(plan, "file").filter(~(F.col("headed") & (F.col("value") == F.col("head"))) & ~F.col("remark"))
+    cell = lambda at: F.trim(F.get(F.col("cells"), F.col(at).cast("int") - 1))
+    found = rows.withColumn("cells", separated("value", F.col("comma"), max(width, 3)))
+    return found.select(cell("id_at").alias("id"), cell("taxonomy_at").alias("taxonomy"), null_text(cell("confidence_at")).try_cast("double").alias("confidence")).filter("id <> '' AND taxonomy <> ''")
 
 
 def read_target_list(spark: SparkSession, path: str) -> DataFrame:
@@ -275,10 +317,16 @@ def unpivot_sample_map(wide: DataFrame, id_column: str, row_columns: tuple[str,
         tokens = name.lower().split("_")
         return next((known[t] for t in tokens if t in known), "")
 
-    is_file = lambda c: primer_of(c) or c.endswith(("_file", "_files", "_path", "_paths")) or c in ("file", "files", "filename", "read_file", "read_files", "path")
-    files = [c for c in wide.columns if c != id_column and c not in row_columns and is_file(c)]
+    named = ("file", "files", "filename", "read_file", "read_files", "path")
+    starts = tuple(f"{p}file_" for p in ("", "read_", "ab1_", "abi_", "trace_", "chromatogram_"))
+    is_file = lambda c: bool(primer_of(c)) or c.endswith(("_file", "_files", "_path", "_paths")) or c.startswith(starts) or c in named
     rows = [c for c in row_columns if c in wide.columns]
-    long = wide.select(id_column, *rows, *files).unpivot([id_column, *rows], files, "column", "cell").filter("trim(cell) <> ''")
+    files = [c for c in wide.columns if c != id_column and c not in rows]
+    long = wide.select(id_column, *rows, *[F.col(f"`{c}`").cast("string").alias(c) for c in files]).unpivot([id_column, *rows], files, "column", "cell").filter("trim(cell) <> ''")
+    # A column counts as files by its name; in any other one, the cells that end as read files do.
+    by_name = [c for c in files if is_file(c)]
+    by_cell = reduce(lambda x, y: x | y, [F.endswith(F.lower(F.trim("cell")), F.lit(e)) for e in READ_SUFFIXES])
+    long = long.filter(F.col("column").isin(*by_name) | by_cell if by_name else by_cell)
     long = long.withColumn("read_file", F.explode(F.filter(F.transform(F.split("cell", "[;,|]"), lambda p: F.trim(p)), lambda p: p != "")))
     names = F.create_map(*[F.lit(x) for c in files for x in (c, primer_of(c))])
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in wide.columns else F.lit(None).cast("string")

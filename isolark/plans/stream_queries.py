@@ -69,5 +69,8 @@ def stream_transitions(spark, sf):
     folder = _folder(spark)
     updates = view(spark, sf, "status_updates")
     updates.write.parquet(f"{folder}/in")
+    # A last update far ahead moves the watermark past all others.
+    closing = updates.limit(1).withColumns({"id": F.lit("~"), "ts": F.lit("2200-01-01").cast(updates.schema["ts"].dataType), "word": F.lit("received")})
+    closing.write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(updates.schema).parquet(f"{folder}/in")
-    return live.drain(live.status_transitions(stream), folder)
+    return live.drain(live.status_transitions(stream), folder).filter("id <> '~'")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from isolark.functions.identifiers import state_name
 
@@ -35,29 +34,115 @@ def enrich(stream: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return stream.join(ledger, key, "left")
 
 
-def _transitions(key, batches: Iterator[pd.DataFrame], state):
-    current = state.get[0] if state.exists else None
-    for pdf in batches:
-        rows = []
-        for r in pdf.sort_values(["ts", "line"]).itertuples():
-            if r.status != current or r.detail:
-                rows.append((key[0], r.line, current, r.status, r.detail))
-            current = r.status
-        yield pd.DataFrame(rows, columns=["id", "line", "old_status", "status", "detail"])
-    state.update((current,))
-
-
-def status_transitions(updates: DataFrame) -> DataFrame:
-    """Transition events from a stream of raw status words, one state cell per isolate."""
-    parsed = updates.select("id", "line", F.col("ts").cast("timestamp").alias("ts"), state_name("word").alias("status"), "detail").filter("status is not null")
-    return parsed.groupBy("id").applyInPandasWithState(
-        _transitions, "id string, line long, old_status string, status string, detail string", "status string", "append", "NoTimeout"
-    )
+_UPDATE = "ts timestamp, line long, status string, detail string"
+_EVENT = "id string, line long, old_status string, status string, detail string"
+
+
+class Transitions(StatefulProcessor):
+    """Updates of one isolate, held until the watermark has passed them and then told in order of time and line.
+
+    The state is the buffer of updates that are still ahead of the watermark, the
+    last status, and the one timer that is set: for the earliest buffered update
+    or, with ``forget``, for when a silent isolate's last status is dropped.
+    """
+
+    def __init__(self, forget_ms: int | None):
+        self.forget = forget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.buffer = handle.getListState("buffer", _UPDATE)
+        self.last = handle.getValueState("last", "status string, at long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def wake(self, at: int | None) -> None:
+        if self.timer.exists():
+            before = self.timer.get()[0]
+            if before == at:
+                return
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for pdf in rows:
+            held = list(pdf[["ts", "line", "status", "detail"]].itertuples(index=False, name=None))
+            self.buffer.appendList([(ts.to_pydatetime(), line, status, detail) for ts, line, status, detail in held])
+            at = min(ts.value for ts, *_ in held) // 1_000_000
+            first = at if first is None else min(first, at)
+        # The buffer may hold an earlier update, whose timer is set already.
+        if first is not None:
+            held = self.timer.get()[0] if self.timer.exists() and self.waiting() else None
+            self.wake(first if held is None else min(first, held))
+        return iter(())
+
+    def waiting(self) -> bool:
+        """Is the timer that is set one for a buffered update, rather than for forgetting?"""
+        return not (self.last.exists() and self.forget is not None and self.timer.get()[0] == self.last.get()[1] + self.forget)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        reached = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        held = sorted((pd.Timestamp(r[0]).value // 1_000_000, r[1], r[2], r[3]) for r in self.buffer.get()) if self.buffer.exists() else []
+        ready, ahead = [r for r in held if r[0] <= reached], [r for r in held if r[0] > reached]
+        status, at = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for now, line, new, detail in ready:
+            if self.forget is not None and at is not None and now - at > self.forget:
+                status = None
+            if new != status or detail:
+                out.append((key[0], line, status, new, detail))
+            status, at = new, now
+        if ready:
+            self.last.update((status, at))
+            if ahead:
+                self.buffer.put([(pd.Timestamp(t, unit="ms").to_pydatetime(), line, new, detail) for t, line, new, detail in ahead])
+            else:
+                self.buffer.clear()
+        if ahead:
+            self.wake(ahead[0][0])
+        elif self.forget is not None and at is not None:
+            if at + self.forget <= reached:
+                self.last.clear()
+            else:
+                self.wake(at + self.forget)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _EVENT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def status_transitions(updates: DataFrame, late: str = "1 hour", forget_days: int | None = None) -> DataFrame:
+    """Transition events from a stream of raw status words, in event-time order however the updates arrive.
+
+    Updates later than the watermark are left out. An isolate that has been silent
+    for ``forget_days`` starts anew, so that state shrinks; without it the last
+    status of every isolate stays. Needs the RocksDB state store, as set by :func:`drain`.
+    """
+    parsed = updates.select("id", "line", F.col("ts").cast("timestamp").alias("ts"), state_name("word").alias("status"), F.coalesce("detail", F.lit("")).alias("detail"))
+    timed = parsed.withWatermark("ts", late).filter("status is not null AND id is not null")
+    processor = Transitions(None if forget_days is None else forget_days * 86_400_000)
+    return timed.groupBy("id").transformWithStateInPandas(processor, _EVENT, "append", "EventTime")
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is available now and return what it wrote."""
     spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)  # read when a query starts
+    try:
+        return _drained(spark, stream, folder, mode)
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
+
+
+def _drained(spark, stream: DataFrame, folder: str, mode: str) -> DataFrame:
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     else:

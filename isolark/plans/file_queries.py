@@ -88,11 +88,19 @@ def tree_nodes_file(spark, sf):
     return nodes.filter("is_leaf").groupBy("is_leaf").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("branch_length"), 4).alias("total"))
 
 
-@query("file_inventory")
+_FILE = "string_agg(concat('>', id, chr(10), coalesce(sequence, '')), chr(10) ORDER BY seq_no)"
+
+
+@query(
+    "file_inventory",
+    f"SELECT octet_length(encode(t || chr(10))) AS size, sha256(t || chr(10)) AS sha256 FROM (SELECT {_FILE} AS t FROM {{seqs}} GROUP BY seq_no // 50) f",
+)
 def file_inventory(spark, sf):
+    """Fifty records a file; their sizes and digests are those of the text that was written."""
     path = _folder(spark)
-    rows = view(spark, sf, "seqs").select(F.concat(F.lit(">"), "id", F.lit("\n"), "sequence").alias("value"))
-    rows.write.option("maxRecordsPerFile", 500).text(path)
+    record = F.concat(F.lit(">"), "id", F.lit("\n"), F.coalesce("sequence", F.lit("")))
+    per_file = view(spark, sf, "seqs").groupBy(F.floor(F.col("seq_no") / 50)).agg(F.sort_array(F.collect_list(F.struct("seq_no", record.alias("r")))).alias("rs"))
+    per_file.select(F.array_join("rs.r", "\n").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return files.inventory(spark, path, "part-*").select("size", "sha256")
 
 

@@ -295,18 +295,64 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInPandas(parse, "tree_id string, node_id string, parent_id string, branch_length double, name string, is_leaf boolean")
 
 
+#: Bytes of a file that are hashed at a time.
+CHUNK = 4 << 20
+#: Lines that a leaf of the digest's tree holds on average.
+LEAF = 64
+
+
+def _hash_files(batches):
+    """SHA-256 of each path's file, read in chunks from whatever file system its address names."""
+    import hashlib
+
+    from urllib.parse import quote
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1)
+            path = row.column("path")[0].as_py()
+            scheme, _, rest = path.partition(":")
+            rest = rest if rest.startswith("//") else f"//{rest}"  # Spark writes local paths with one slash, and all paths unescaped
+            system, place = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([digest.hexdigest()])], [*row.schema.names, "sha256"])
+
+
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of every file below a folder."""
+    """Path, size and SHA-256 of every file below a folder.
+
+    The listing reads no content; files of any size are hashed in chunks where
+    the tasks are, so no file stands in a row. Spark's listing has no entry for an
+    empty file, as no task would read it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("size")).mapInArrow(_hash_files, "path string, size long, sha256 string")
 
 
 def directory_digest(files: DataFrame) -> DataFrame:
-    """One digest over an inventory: digests of 4096 path buckets, then of those in order."""
-    lines = files.select("size", F.substring(F.sha2("path", 256), 1, 3).alias("bucket"), F.concat_ws(":", "path", "sha256").alias("line"))
-    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    buckets = lines.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), fold("line").alias("line"))
-    return buckets.agg(F.sum("n").alias("files"), F.sum("size").alias("bytes"), fold(F.concat_ws(":", "bucket", "line")).alias("digest"))
+    """One digest over an inventory: a tree over the paths' hashes whose depth follows from the number of files.
+
+    A leaf holds the sorted lines of the paths that share their first hexadecimal
+    digits, about ``LEAF`` of them; each level above folds up to 16 digests, so no
+    cell grows with the folder.
+    """
+    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    count, total = files.agg(F.count(F.lit(1)), F.sum("size")).first()
+    depth = 0
+    while LEAF * 16**depth < count:
+        depth += 1
+    lines = files.select(F.sha2("path", 256).alias("place"), F.concat_ws(":", "path", "sha256").alias("line"))
+    tree = lines.groupBy(F.substring("place", 1, depth).alias("place")).agg(fold("line").alias("line"))
+    for level in range(depth - 1, -1, -1):
+        tree = tree.groupBy(F.substring("place", 1, level).alias("place")).agg(fold(F.concat_ws(":", "place", "line")).alias("line"))
+    root = tree.agg(F.max("line").alias("digest"))  # one line, or none of an empty folder
+    return root.select(F.lit(count).cast("long").alias("files"), F.lit(total or 0).cast("long").alias("bytes"), "digest")
 
 
 def unpivot_sample_map(wide: DataFrame, id_column: str, row_columns: tuple[str, ...] = ("primer", "direction", "processing_mode")) -> DataFrame:

@@ -122,3 +122,43 @@ def test_results_do_not_depend_on_partitions(spark):
         seen.append(sorted(map(str, entry.queries()["sequencing_sets"](spark, "/root/testdata/sf0.001").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def test_large_files_are_hashed_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(files, "CHUNK", 1000)
+    want = {}
+    for k, size in enumerate((0, 1, 999, 1000, 12_345)):
+        data = bytes((i * (k + 3)) % 251 for i in range(size))
+        (tmp_path / f"f {k}.bin").write_bytes(data)
+        if size:
+            want[f"f {k}.bin"] = (size, hashlib.sha256(data).hexdigest())
+    got = {r["path"].replace("%20", " ").rsplit("/", 1)[1]: (r["size"], r["sha256"]) for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_directory_digest_is_a_tree_over_path_hashes(spark):
+    import hashlib
+
+    hexed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def plain(rows):
+        depth = 0
+        while files.LEAF * 16**depth < len(rows):
+            depth += 1
+        groups = {}
+        for path, _, sha in rows:
+            groups.setdefault(hexed(path)[:depth], []).append(f"{path}:{sha}")
+        level = {k: hexed("\n".join(sorted(v))) for k, v in groups.items()}
+        for size in range(depth - 1, -1, -1):
+            above = {}
+            for k, v in level.items():
+                above.setdefault(k[:size], []).append(f"{k}:{v}")
+            level = {k: hexed("\n".join(sorted(v))) for k, v in above.items()}
+        return (len(rows), sum(r[1] for r in rows), level.get(""))
+
+    for n in (0, 1, 64, 65, 1500):
+        rows = [(f"file:/x/{i}", i, hexed(str(i))) for i in range(n)]
+        got = files.directory_digest(spark.createDataFrame(rows, "path string, size long, sha256 string").repartition(7)).collect()
+        assert [tuple(r) for r in got] == [plain(rows)]

@@ -90,6 +90,21 @@ def pool_select(seqs: DataFrame, run_dataset: str | None = None, include: list[s
     return seqs.filter(keep)
 
 
+def project_pool(seqs: DataFrame, roles: DataFrame, reference: DataFrame) -> DataFrame:
+    """The project's pool by what there is: sequences of candidate datasets, if any is registered; else of all datasets but baselines; else ``reference``.
+
+    ``pool`` names the choice. The counts behind it are subqueries of one plan, so
+    nothing is decided while the plan is built.
+    """
+    usable = seqs.filter(F.coalesce(F.length("sequence") > 0, F.lit(False)))
+    candidates = roles.filter("role = 'candidate'").agg(F.count(F.lit(1)))
+    known = roles.select("dataset", "role").dropDuplicates(["dataset"])
+    placed = usable.join(known, "dataset", "left").withColumn("_some", candidates.scalar() > 0)
+    own = placed.filter(F.when(F.col("_some"), F.col("role").eqNullSafe("candidate")).otherwise(~F.col("role").eqNullSafe("baseline")))
+    named = own.select("id", "sequence", F.lit("project_collection").alias("pool"))
+    return named.unionByName(reference.select("id", "sequence", F.lit("reference").alias("pool")).filter(named.agg(F.count(F.lit(1))).scalar() == 0))
+
+
 def exclude_anchors(df: DataFrame, prefix: str, column: str = "id") -> DataFrame:
     return df.filter(~F.startswith(F.col(column), F.lit(prefix)))
 

@@ -244,6 +244,32 @@ def marker_flag(isolates: DataFrame, qc: DataFrame, reviews: DataFrame) -> DataF
     return rows.select("id", "qc_class", review.alias("review"), flag.alias("flag"))
 
 
+# The flag of each chimera call; a call that isn't listed was not made.
+CHIMERA_FLAGS = {"PASS": "", "CHIMERA": "CHIMERA_DETECTED", "INDETERMINATE": "CHIMERA_INDETERMINATE", "SKIPPED": "CHIMERA_CHECK_SKIPPED"}
+
+
+def provenance_flags(assessed: DataFrame, marker: DataFrame, chimeras: DataFrame) -> DataFrame:
+    """``assessed`` (id, placement_flags, ...) with marker and chimera provenance, whose flags are appended once each.
+
+    ``marker`` is what :func:`marker_flag` gives, ``chimeras`` has id, call and
+    score. Without marker provenance the quality is unverified, without a chimera
+    call the check counts as not run.
+    """
+    found = marker.select("id", F.col("qc_class").alias("marker_qc_class"), F.col("review").alias("marker_manual_review_status"), F.col("flag").alias("_marker"))
+    called = chimeras.select("id", F.upper(F.trim("call")).alias("_call"), F.col("score").alias("chimera_score"))
+    rows = assessed.join(found, "id", "left").join(called, "id", "left")
+    flags = F.create_map(*[F.lit(x) for pair in CHIMERA_FLAGS.items() for x in pair])
+    call = F.coalesce("_call", F.lit("NOT_RUN"))
+    marker_said, chimera_said = F.coalesce("_marker", F.lit("MARKER_QC_UNVERIFIED")), F.coalesce(F.try_element_at(flags, call), F.lit("CHIMERA_NOT_RUN"))
+    held = F.filter(F.split(F.coalesce("placement_flags", F.lit("")), ";"), lambda f: f != "")
+    more = F.array_except(F.filter(F.array(marker_said, chimera_said), lambda f: f != ""), held)
+    return rows.select(
+        *[c for c in assessed.columns if c != "placement_flags"], F.array_join(F.concat(held, more), ";").alias("placement_flags"),
+        F.coalesce("marker_qc_class", F.lit("QUALITY_UNVERIFIED")).alias("marker_qc_class"), F.coalesce("marker_manual_review_status", F.lit("NOT_REVIEWED")).alias("marker_manual_review_status"),
+        F.when(marker_said == "", "MARKER_QC_PASSED").otherwise(marker_said).alias("marker_qc_flag"), call.alias("chimera_call"), "chimera_score",
+    )
+
+
 def supplier_reconcile(rows: DataFrame, files: DataFrame, forward_primer: str = "", reverse_primer: str = "") -> DataFrame:
     """Match supplier reads to files: none, one or several; the first claim of a file wins."""
     name = lambda c: F.element_at(F.split(c, "/"), -1)

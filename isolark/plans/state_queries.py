@@ -404,3 +404,44 @@ SELECT count(*) AS rows, count(*) FILTER (u < 1200) AS short_rows, count(*) FILT
 )
 def alignment_quality(spark, sf):
     return R.alignment_quality(view(spark, sf, "aligned"))
+
+
+_CALLS = "CASE seq_no % 7 WHEN 0 THEN 'chimera' WHEN 1 THEN 'INDETERMINATE' WHEN 2 THEN 'skipped' WHEN 3 THEN 'unheard of' ELSE 'PASS' END"
+
+
+@query(
+    "provenance_flags",
+    f"""
+WITH r AS (SELECT sequence_id, CASE lower(decision) WHEN 'accept' THEN 'APPROVED' WHEN 'approved' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' ELSE 'NOT_REVIEWED' END AS review FROM {{marker_reviews}}),
+m AS (SELECT a.id, a.placement_flags, q.qc_class, coalesce(r.review, 'NOT_REVIEWED') AS review, CASE WHEN q.qc_class IS NULL THEN 'MARKER_QC_UNVERIFIED' WHEN q.qc_class = 'FAIL_QC' OR r.review = 'REJECTED' THEN 'MARKER_QC_FAILED'
+  WHEN q.qc_class = 'PASS_HIGH_CONFIDENCE' THEN '' WHEN r.review = 'APPROVED' THEN 'MARKER_QC_REVIEW_APPROVED' ELSE 'MARKER_QC_REVIEW_REQUIRED' END AS mf,
+  upper(CASE WHEN seq_no % 5 > 0 THEN {_CALLS} END) AS call, CASE WHEN seq_no % 5 > 0 THEN seq_no % 11 / 2e0 END AS chimera_score
+  FROM {{assessment}} a LEFT JOIN {{marker_qc}} q ON q.sequence_id = a.id LEFT JOIN r ON r.sequence_id = a.id),
+f AS (SELECT *, CASE coalesce(call, 'NOT_RUN') WHEN 'PASS' THEN '' WHEN 'CHIMERA' THEN 'CHIMERA_DETECTED' WHEN 'INDETERMINATE' THEN 'CHIMERA_INDETERMINATE' WHEN 'SKIPPED' THEN 'CHIMERA_CHECK_SKIPPED' ELSE 'CHIMERA_NOT_RUN' END AS cf,
+  list_filter(string_split(coalesce(placement_flags, ''), ';'), lambda x: x <> '') AS held FROM m)
+SELECT id, array_to_string(list_concat(held, list_filter([mf, cf], lambda x: x <> '' AND NOT list_contains(held, x))), ';') AS placement_flags, coalesce(qc_class, 'QUALITY_UNVERIFIED') AS marker_qc_class,
+  review AS marker_manual_review_status, CASE WHEN mf = '' THEN 'MARKER_QC_PASSED' ELSE mf END AS marker_qc_flag, coalesce(call, 'NOT_RUN') AS chimera_call, chimera_score FROM f""",
+)
+def provenance_flags(spark, sf):
+    assessed = view(spark, sf, "assessment")
+    marker = S.marker_flag(assessed, view(spark, sf, "marker_qc"), view(spark, sf, "marker_reviews"))
+    chimeras = assessed.filter("seq_no % 5 > 0").select("id", F.expr(_CALLS).alias("call"), (F.col("seq_no") % 11 / 2.0).alias("score"))
+    return S.provenance_flags(assessed.select("id", "placement_flags"), marker, chimeras)
+
+
+@query(
+    "project_pool",
+    """
+WITH s AS (SELECT * FROM {seqs} WHERE length(sequence) > 0), c AS (SELECT dataset FROM {roles} WHERE role = 'candidate'), b AS (SELECT dataset FROM {roles} WHERE role = 'baseline')
+SELECT 'registered' AS kind, id, 'project_collection' AS pool FROM s WHERE dataset IN (SELECT dataset FROM c)
+UNION ALL SELECT 'baselines only', id, 'project_collection' FROM s WHERE dataset IS NULL OR dataset NOT IN (SELECT dataset FROM b)
+UNION ALL SELECT 'nothing left', id, 'reference' FROM s WHERE seq_no % 10 = 0""",
+)
+def project_pool(spark, sf):
+    seqs, roles = view(spark, sf, "seqs"), view(spark, sf, "roles")
+    reference = seqs.filter("seq_no % 10 = 0 AND length(sequence) > 0")
+    baselines = roles.filter("role = 'baseline'")
+    every = seqs.select("dataset").distinct().withColumn("role", F.lit("baseline"))
+    kinds = {"registered": roles, "baselines only": baselines, "nothing left": every}
+    parts = [C.project_pool(seqs.filter("dataset IS NOT NULL") if kind == "nothing left" else seqs, own, reference).select(F.lit(kind).alias("kind"), "id", "pool") for kind, own in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -101,7 +101,15 @@ def clade_members(spark, sf):
     return trees.clade_members(pick(10, 3), pick(20, 7), closed, nodes, maximum=12)
 
 
-@query("prune_tree")
+@query(
+    "prune_tree",
+    f"""WITH {_CLOSURE},
+k AS (SELECT node_id FROM {{tree_nodes}} WHERE is_leaf AND regexp_matches(node_id, '[13579]$')),
+alive AS (SELECT DISTINCT ancestor_id AS node_id FROM up WHERE node_id IN (SELECT node_id FROM k)),
+solid AS (SELECT node_id FROM k UNION SELECT parent_id FROM {{tree_nodes}} WHERE node_id IN (SELECT node_id FROM alive) AND parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) > 1),
+near AS (SELECT node_id, ancestor_id, dist FROM up WHERE hops > 0 AND node_id IN (SELECT node_id FROM solid) AND ancestor_id IN (SELECT node_id FROM solid) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY hops) = 1)
+SELECT s.node_id, n.ancestor_id AS parent_id, round(coalesce(n.dist, 0), 6) AS branch_length, s.node_id IN (SELECT node_id FROM k) AS is_leaf FROM solid s LEFT JOIN near n USING (node_id)""",
+)
 def prune_tree(spark, sf):
     nodes = view(spark, sf, "tree_nodes")
     keep = nodes.filter("is_leaf").filter(F.col("node_id").rlike("[13579]$")).select("node_id")

@@ -40,6 +40,19 @@ def sliding_windows(spark, sf):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+@query(
+    "session_windows",
+    """
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM {events}),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > interval 6 hour THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS visit FROM e)
+SELECT cast(min(ts) AS timestamp) AS session_start, user_id, count(*) AS n FROM s GROUP BY user_id, visit""",
+)
+def session_windows(spark, sf):
+    counts = live.session_counts(_stream(spark, sf, "events"), gap="6 hours")
+    out = live.drain(counts, _folder(spark), mode="complete")
+    return out.select(F.col("session_start").cast("timestamp_ntz").alias("session_start"), "user_id", "n")
+
+
 @query("stream_submissions", "SELECT count(DISTINCT md5(text)) AS sequences FROM {documents}")
 def stream_submissions(spark, sf):
     stream = _stream(spark, sf, "documents").select(F.col("doc_id"), F.col("text").alias("sequence"), F.lit("2024-01-01").cast("timestamp").alias("ts"))

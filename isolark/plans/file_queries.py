@@ -23,6 +23,32 @@ def scan_fasta(spark, sf):
     return files.read_fasta(spark, path).select("record_id", F.md5("sequence").alias("digest"))
 
 
+@query("scan_alignment", "SELECT id, md5(replace(upper(regexp_replace(aligned, '[^A-Za-z-]', '', 'g')), 'U', 'T')) AS digest, length(regexp_replace(aligned, '[^A-Za-z-]', '', 'g')) AS width FROM {aligned} WHERE aligned IS NOT NULL")
+def scan_alignment(spark, sf):
+    path = _folder(spark)
+    rows = view(spark, sf, "aligned").filter("aligned IS NOT NULL").select(F.concat(F.lit(" "), "id", F.lit(" ")).alias("id"), F.lower(F.regexp_replace("aligned", "[^A-Za-z-]", "")).alias("sequence"))
+    sinks.write_fasta(rows, path)
+    return files.read_alignment(spark, path).select("id", F.md5("aligned").alias("digest"), F.length("aligned").alias("width"))
+
+
+@query("scan_attributes", "SELECT id, dataset, cast(length AS varchar) AS letters, CASE WHEN domain <> '' THEN concat(domain, ', \"as given\"') END AS domain FROM {seqs}")
+def scan_attributes(spark, sf):
+    path = _folder(spark)
+    rows = view(spark, sf, "seqs").select(F.col("id").alias("Isolate"), "dataset", F.col("length").cast("string").alias("letters"), F.when(F.col("domain") != "", F.concat("domain", F.lit(', "as given"'))).alias("domain"))
+    rows.write.csv(path, header=True, escape='"')
+    return files.read_attributes(spark, path)
+
+
+@query("state_versions", "SELECT id, dataset, 'second' AS version FROM {taxa} WHERE seq_no % 2 = 0 UNION ALL SELECT id, dataset, 'first' FROM {taxa}")
+def state_versions(spark, sf):
+    """Two versions of one state table, written beside each other and read back."""
+    path, taxa = _folder(spark), view(spark, sf, "taxa").select("id", "dataset", "seq_no")
+    sinks.write_state(taxa, path, "taxonomy", "first")
+    sinks.write_state(taxa.filter("seq_no % 2 = 0"), path, "taxonomy", "second")
+    read = lambda version: sinks.read_state(spark, path, "taxonomy", version).select("id", "dataset", F.lit(version).alias("version"))
+    return read("first").unionByName(read("second"))
+
+
 @query("scan_fastq", "SELECT read_id, length(sequence) AS n, md5(replace(sequence, chr(10), 'N')) AS digest FROM {reads} WHERE sequence <> ''")
 def scan_fastq(spark, sf):
     path = _folder(spark)

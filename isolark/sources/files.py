@@ -140,7 +140,7 @@ def read_ledger(spark: SparkSession, path: str, synonyms: dict[str, tuple[str, .
     head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
     line = head[0][0] if head else ""
     sep = "\t" if line.count("\t") >= line.count(",") and "\t" in line else ","
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     raw = raw.toDF(*[_header(c) for c in raw.columns])
     blank = F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in raw.columns]) == ""
     raw = raw.filter(~blank)
@@ -211,7 +211,7 @@ def read_taxonomy_table(spark: SparkSession, path: str) -> DataFrame:
 def read_target_list(spark: SparkSession, path: str) -> DataFrame:
     """(target_id, hierarchy, target_role) from a table whose headers contain those words."""
     sep = "\t" if path.endswith((".tsv", ".txt", ".tsv.gz", ".txt.gz")) else ","
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+    raw = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False)
     column = lambda *words: next((c for w in words for c in raw.columns if w in c.lower()), None)
     ident, hierarchy, role = column("mwl", "target", "id"), column("hierarchy", "tax"), column("role")
     cell = lambda c: F.trim(F.col(f"`{c}`")) if c else F.lit("")
@@ -228,7 +228,7 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     """Attribute table: the first column is the id, the others stay text."""
     sep = "\t" if path.endswith((".tsv", ".txt", ".tsv.gz", ".txt.gz")) else ","
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False)
+    raw = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False)
     return raw.withColumnRenamed(raw.columns[0], "id")
 
 

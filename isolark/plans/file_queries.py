@@ -73,6 +73,22 @@ def scan_ledger(spark, sf):
     return back.select(F.col("sequence_id").alias("id"), "partner_id", F.col("selected_for_genome_sequencing").alias("selected"))
 
 
+@query(
+    "scan_ledgers_mixed",
+    """
+SELECT id AS sequence_id, partner_id, concat('kept "', id, '", shelf ', length(id)) AS note FROM {ledger} WHERE length(id) % 2 = 0
+UNION ALL SELECT id, concat(partner_id, ' lab'), NULL FROM {ledger} WHERE length(id) % 2 = 1""",
+)
+def scan_ledgers_mixed(spark, sf):
+    """One folder with two headers: commas and quotes, and tabs with other names in another order."""
+    path, rows = _folder(spark), view(spark, sf, "ledger")
+    even, odd = (rows.filter(F.length("id") % 2 == k) for k in (0, 1))
+    note = F.concat(F.lit('kept "'), "id", F.lit('", shelf '), F.length("id").cast("string"))
+    even.select(F.col("partner_id").alias("Partner"), note.alias("Note"), F.col("id").alias("Isolate ID")).write.csv(f"{path}/a", header=True, escape='"')
+    odd.select(F.col("id").alias("unique-id"), F.concat("partner_id", F.lit(" lab")).alias("Partner Acronym")).write.csv(f"{path}/b", sep="\t", header=True)
+    return files.read_ledger(spark, f"{path}/*").select("sequence_id", "partner_id", "note")
+
+
 @query("scan_taxonomy_table", "SELECT target AS id, taxonomy, confidence FROM {target_taxa}")
 def scan_taxonomy_table(spark, sf):
     path = _folder(spark)

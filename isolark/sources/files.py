@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
 import struct
 from functools import reduce
@@ -135,24 +136,41 @@ def _header(name: str) -> str:
     return name.strip().lstrip("﻿").lower().replace("-", "_").replace(" ", "_")
 
 
-def read_ledger(spark: SparkSession, path: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """CSV / TSV ledger with normalised headers; each known column is found by its synonyms."""
-    head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    line = head[0][0] if head else ""
-    sep = "\t" if line.count("\t") >= line.count(",") and "\t" in line else ","
-    raw = spark.read.csv(path, header=True, sep=sep, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.toDF(*[_header(c) for c in raw.columns])
-    blank = F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in raw.columns]) == ""
-    raw = raw.filter(~blank)
-    compact = {c.replace("_", ""): c for c in raw.columns}
+def _ledger_columns(names: list[str], synonyms: dict[str, tuple[str, ...]]) -> list[Column]:
+    """Known columns by their synonyms, the first filled cell of them, and all others trimmed."""
+    compact = {c.replace("_", ""): c for c in names}
     picks, used = [], set()
-    for target, names in (synonyms or LEDGER_SYNONYMS).items():
-        found = [c for n in names for c in ([n] if n in raw.columns else [compact[n.replace("_", "")]] if n.replace("_", "") in compact else [])]
+    for target, options in synonyms.items():
+        found = [c for n in options for c in ([n] if n in names else [compact[n.replace("_", "")]] if n.replace("_", "") in compact else [])]
         found = list(dict.fromkeys(found))
         if found:
             used.update(found)
             picks.append(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in found]).alias(target))
-    return raw.select(*picks, *[F.trim(F.col(f"`{c}`")).alias(c) for c in raw.columns if c not in used])
+    return [*picks, *[F.trim(F.col(f"`{c}`")).alias(c) for c in names if c not in used]]
+
+
+def read_ledger(spark: SparkSession, path: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Ledger of one file or a folder of them with normalised headers; each known column is found by its synonyms.
+
+    Every file has its own header and delimiter. Files of one header are read
+    together; columns that a file lacks are null. A header's repeated names count once.
+    """
+    lines = text_lines(spark, path)
+    heads = first_lines(lines).select("file", "head", comma_separated("head").alias("comma"))
+    parts = None
+    # One step per distinct header, not per file.
+    for row in heads.select("head", "comma").distinct().orderBy("head").collect():
+        cells = next(csv.reader([row["head"]], delimiter="," if row["comma"] else "\t"))
+        named = [_header(c) or f"column_{i}" for i, c in enumerate(cells)]
+        names = [n if n not in named[:i] else f"{n}_{i}" for i, n in enumerate(named)]
+        own = heads.filter(F.col("head") == F.lit(row["head"])).select("file")
+        kept = lines.filter(F.col("value") != F.lit(row["head"])).join(own, "file", "left_semi")
+        split = separated("value", F.lit(row["comma"]), len(names))
+        found = kept.select(split.alias("_c")).select(*[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        filled = found.filter(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in names]) != "")
+        part = filled.select(*_ledger_columns(names, synonyms or LEDGER_SYNONYMS))
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    return parts if parts is not None else spark.createDataFrame([], "sequence_id string")
 
 
 # Names of the columns of a taxonomy table, in lower case without signs.
@@ -161,6 +179,19 @@ TAXONOMY_NAMES = ("taxon", "taxonomy", "lineage", "classification", "taxonomicli
 CONFIDENCE_NAMES = ("confidence", "conf", "score", "probability")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value) of all lines that aren't blank; ``at`` orders the lines of a file."""
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.regexp_replace("value", "\\r$", "").alias("value")).filter(F.trim("value") != "")
+
+
+def comma_separated(head: str) -> Column:
+    """Is a file's first line, and so the file, delimited by commas rather than tabs?"""
+    bare = F.lower(F.regexp_replace("file", "(?i)[.]gz$", ""))
+    tabs_only = F.contains(F.col(head), F.lit("\t")) & ~F.contains(F.col(head), F.lit(","))
+    return F.when(F.endswith(bare, F.lit(".csv")), ~tabs_only).when(F.rlike(bare, F.lit("[.](tsv|tab|txt)$")) & F.contains(F.col(head), F.lit("\t")), False).otherwise(~F.contains(F.col(head), F.lit("\t")))
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """(file, head): the first of each file's ``lines`` (file, at, value); ``at`` orders the lines of a file."""
     return lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
@@ -181,16 +212,14 @@ def read_taxonomy_table(spark: SparkSession, path: str) -> DataFrame:
     one the first three cells are meant. Quoted cells may hold the delimiter.
     Rows without an id or a taxonomy are left out, as are comments.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    text = text_lines(spark, path)
     remark = F.startswith(F.ltrim("value"), F.lit("#"))
     names_taxonomy = F.rlike(F.lower("value"), F.lit("taxon|lineage"))
-    lines = text.filter((F.trim("value") != "") & (~remark | names_taxonomy)).withColumn("value", F.when(remark, F.regexp_replace("value", "^\\s*#\\s*", "")).otherwise(F.col("value"))).withColumn("remark", remark)
+    lines = text.filter(~remark | names_taxonomy).withColumn("value", F.when(remark, F.regexp_replace("value", "^\\s*#\\s*", "")).otherwise(F.col("value"))).withColumn("remark", remark)
     heads = first_lines(lines)
     # Files are few beside their lines; the widest head bounds the cells that are laid out.
     width = heads.agg(F.max(F.size(F.split("head", "[,\t]")))).first()[0] or 1
-    bare = F.lower(F.regexp_replace("file", "(?i)[.]gz$", ""))
-    tabs_only = F.contains("head", F.lit("\t")) & ~F.contains("head", F.lit(","))
-    comma = F.when(F.endswith(bare, F.lit(".csv")), ~tabs_only).when(F.rlike(bare, F.lit("[.](tsv|tab|txt)$")), False).otherwise(~F.contains("head", F.lit("\t")))
+    comma = comma_separated("head")
     cells = F.transform(separated("head", F.col("comma"), width), lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""))
     place = lambda names: F.nullif(F.array_position(F.transform(F.col("names"), lambda n: F.coalesce(n.isin(*names), F.lit(False))), True), F.lit(0))
     heads = heads.withColumn("comma", comma).withColumn("names", cells)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 RANKS = ("d", "p", "c", "o", "f", "g", "s")
@@ -132,6 +134,32 @@ def display_name(c) -> Column:
     return F.when(F.coalesce(joined, F.lit("")).rlike(r"^[\d_]*$"), F.lit("unknown")).otherwise(no_letter)
 
 
+def group_label(phylum, domain, specs: list[str]) -> Column:
+    """Label of a phylum by the user's group specs; phyla that none names keep their own.
+
+    A spec is ``archaea`` or ``bacteria`` (every phylum of that domain), a list of
+    phyla named after its first, or ``Label:list``. Names match whatever their
+    case, blanks and underscores; of several specs that name a phylum the last counts.
+    """
+    phylum, domain = col(phylum), F.lower(F.coalesce(col(domain), F.lit("")))
+    plain = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[\\s_]+", "_")
+    label = phylum
+    for spec in filter(None, (s.strip() for s in specs)):
+        if spec.lower() in ("archaea", "bacteria"):
+            label = F.when(F.contains(domain, F.lit(spec.lower())) & phylum.isNotNull(), F.lit(spec.capitalize())).otherwise(label)
+            continue
+        head, colon, tail = spec.partition(":")
+        names = [n.strip() for n in (tail if colon else spec).split(",") if n.strip()]
+        if names:
+            named = F.lit(head.strip() if colon else names[0])
+            label = F.when(plain(phylum).isin(*[plain_name(n) for n in names]), named).otherwise(label)
+    return label
+
+
+def plain_name(name: str) -> str:
+    return re.sub(r"[\s_]+", "_", name.strip().lower())
+
+
 def agreement(left, right) -> Column:
     """Struct(deepest_shared, conflict): walk the ranks both name until one differs."""
     ranks = F.array(

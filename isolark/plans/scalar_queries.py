@@ -404,3 +404,16 @@ def label_groups(spark, sf):
         T.display_name(F.concat(F.lit("Brand_"), "p_brand", F.lit(" "), F.col("p_size").cast("string"))).alias("display"),
         T.terminal_taxon("taxonomy").alias("terminal"),
     )
+
+
+@query(
+    "group_labels",
+    f"""
+WITH {_PARTS.strip()},
+r AS (SELECT t.id, max(name) FILTER (rank = 'p') AS p, max(name) FILTER (rank = 'd') AS d FROM {{taxa}} t LEFT JOIN lin USING (id) GROUP BY t.id)
+SELECT id, p AS phylum, CASE WHEN p IN ('MIDDLE EAST') THEN 'MIDDLE_east' WHEN p IN ('ASIA', 'EUROPE') THEN 'Firm' WHEN d = 'Archaea' AND p IS NOT NULL THEN 'Archaea' WHEN p IN ('AFRICA', 'AMERICA') THEN 'africa' ELSE p END AS label FROM r""",
+)
+def group_labels(spark, sf):
+    specs = ["africa, America", "archaea", "", "Firm: asia,EUROPE, not there", "MIDDLE_east"]
+    ranks = view(spark, sf, "taxa").select("id", T.rank_of("taxonomy", "p").alias("phylum"), T.rank_of("taxonomy", "d").alias("domain"))
+    return ranks.select("id", "phylum", T.group_label("phylum", "domain", specs).alias("label"))

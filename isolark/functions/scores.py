@@ -144,3 +144,38 @@ def placement_flags(best, identity, confidence, coverage, nearest, has_metrics,
             F.when(col(has_metrics) & (nearest.isNull() | (nearest == 0)) & assigned, "ASSIGNED_WITHOUT_PLACEMENT_SUPPORT"),
         )
     )
+
+
+def _evidence_parts(spread, row: dict[str, Column]) -> list[Column]:
+    """Sentences that both reason texts share; each is null where there is nothing to say."""
+    text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    share = lambda c, words: F.when(c > 0, F.format_string(f"{words} %.2f%%", c))
+    strength, told, rank = F.upper(text(row["rarity_strength"])), text(row["rarity_reason"]), text(row["target_rank"])
+    rarity = F.concat(F.lit("diversity metadata "), F.lower(strength), F.lit(" confidence"), F.when(told != "", F.concat(F.lit(" ("), told, F.lit(")"))).otherwise(""))
+    return [
+        F.when(spread.isNotNull(), F.format_string("marginal patristic distance %.5f", spread)),
+        share(row["nearest_identity"], "nearest cultured baseline"), share(row["project_nearest_identity"], "nearest project marker"),
+        F.when(strength.isin("HIGH", "MODERATE"), rarity), F.when(~rank.isin("", "NA", "None"), F.concat(F.lit("target "), rank, F.lit("-level context"))),
+    ]
+
+
+def ranking_reason(opening, spread, nearest_identity, project_nearest_identity, rarity_strength, rarity_reason, target_rank) -> Column:
+    """Why a row has its place in a sequencing set: ``opening``, then what spoke for it."""
+    names = ("nearest_identity", "project_nearest_identity", "rarity_strength", "rarity_reason", "target_rank")
+    row = dict(zip(names, map(col, (nearest_identity, project_nearest_identity, rarity_strength, rarity_reason, target_rank)), strict=True))
+    return F.concat_ws("; ", col(opening), *_evidence_parts(col(spread), row))
+
+
+def round_reason(tier, available, target, nearest_genome_identity, spread, nearest_identity, rarity_strength, rarity_reason, target_rank) -> Column:
+    """Why a row is in a budgeted round, by the tier it was taken from."""
+    tier, available, genome = map(col, (tier, available, nearest_genome_identity))
+    opening = (
+        F.when(tier == "COVERAGE_GAP", F.concat(F.lit("fills remaining "), col(target).cast("string"), F.lit("-genome coverage gap")))
+        .when(tier == "NOVEL_GENOME_NEIGHBOURHOOD", "no close genome representation at the 98.65% marker threshold")
+        .when(tier == "DIVERSITY_EXPANSION", F.concat(F.lit("post-target diversity expansion from "), available.cast("string"), F.lit(" available genomes")))
+        .otherwise("post-target extension despite close existing genome representation")
+    )
+    names = ("nearest_identity", "rarity_strength", "rarity_reason", "target_rank")
+    row = dict(zip(names, map(col, (nearest_identity, rarity_strength, rarity_reason, target_rank)), strict=True)) | {"project_nearest_identity": F.lit(None).cast("double")}
+    held = F.when(genome > 0, F.format_string("nearest available genome %.2f%% marker identity", genome))
+    return F.concat_ws("; ", opening, held, *_evidence_parts(col(spread), row))

@@ -417,3 +417,30 @@ def group_labels(spark, sf):
     specs = ["africa, America", "archaea", "", "Firm: asia,EUROPE, not there", "MIDDLE_east"]
     ranks = view(spark, sf, "taxa").select("id", T.rank_of("taxonomy", "p").alias("phylum"), T.rank_of("taxonomy", "d").alias("domain"))
     return ranks.select("id", "phylum", T.group_label("phylum", "domain", specs).alias("label"))
+
+
+_SPREAD = "CASE WHEN seq_no % 6 > 0 THEN seq_no % 101 / 997e0 END"
+_TIER = "CASE seq_no % 4 WHEN 0 THEN 'COVERAGE_GAP' WHEN 1 THEN 'NOVEL_GENOME_NEIGHBOURHOOD' WHEN 2 THEN 'DIVERSITY_EXPANSION' ELSE 'REDUNDANT_EXTENSION' END"
+_TOLD = "CASE WHEN seq_no % 3 = 0 THEN concat('rare ', dataset) WHEN seq_no % 3 = 1 THEN '' END"
+_SAID = """CASE WHEN spread IS NOT NULL THEN printf('marginal patristic distance %.5f', spread) END, CASE WHEN nearest_identity > 0 THEN printf('nearest cultured baseline %.2f%%', nearest_identity) END, {project}
+  CASE WHEN rarity_strength IN ('HIGH', 'MODERATE') THEN concat('diversity metadata ', lower(rarity_strength), ' confidence', CASE WHEN told <> '' THEN concat(' (', told, ')') ELSE '' END) END,
+  CASE WHEN coalesce(target_rank, '') NOT IN ('', 'NA', 'None') THEN concat('target ', target_rank, '-level context') END"""
+_PROJECT = "CASE WHEN project_nearest_identity > 0 THEN printf('nearest project marker %.2f%%', project_nearest_identity) END,"
+
+
+@query(
+    "reason_texts",
+    f"""
+WITH r AS (SELECT *, {_SPREAD} AS spread, {_TIER} AS tier, {_TOLD} AS told FROM {{assessment}})
+SELECT id, concat_ws('; ', concat('rank ', seq_no % 9), {_SAID.replace("{project}", _PROJECT)}) AS ranking_reason,
+  concat_ws('; ', CASE tier WHEN 'COVERAGE_GAP' THEN 'fills remaining 9-genome coverage gap' WHEN 'NOVEL_GENOME_NEIGHBOURHOOD' THEN 'no close genome representation at the 98.65% marker threshold'
+    WHEN 'DIVERSITY_EXPANSION' THEN concat('post-target diversity expansion from ', seq_no % 12, ' available genomes') ELSE 'post-target extension despite close existing genome representation' END,
+    CASE WHEN reference_nearest_identity > 0 THEN printf('nearest available genome %.2f%% marker identity', reference_nearest_identity) END, {_SAID.replace("{project}", "")}) AS round_reason FROM r""",
+)
+def reason_texts(spark, sf):
+    rows = view(spark, sf, "assessment").withColumns({"spread": F.expr(_SPREAD).cast("double"), "tier": F.expr(_TIER), "told": F.expr(_TOLD), "opening": F.concat(F.lit("rank "), (F.col("seq_no") % 9).cast("string")), "had": F.col("seq_no") % 12})
+    shared = ("rarity_strength", "told", "target_rank")
+    return rows.select(
+        "id", scores.ranking_reason("opening", "spread", "nearest_identity", "project_nearest_identity", *shared).alias("ranking_reason"),
+        scores.round_reason("tier", "had", F.lit(scores.GENOME_TARGET), "reference_nearest_identity", "spread", "nearest_identity", *shared).alias("round_reason"),
+    )

@@ -206,3 +206,23 @@ def top_hits(hits: DataFrame, k: int = 10, floor: float = 80.0) -> DataFrame:
 
     w = Window.partitionBy("query").orderBy(F.desc("identity"), "ordinal", "target")
     return hits.filter(F.col("identity") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def parse_chimera_lines(lines: DataFrame) -> DataFrame:
+    """(id, call, score, left_parent, right_parent) of a score-first chimera table: score, query, parents, ..., verdict last.
+
+    Lines without a query are left out; a score that is no number is null, and a
+    verdict other than Y or N is INDETERMINATE.
+    """
+    cells = F.split("value", "\t")
+    cell = lambda at: F.coalesce(F.get("c", F.lit(at)), F.lit(""))
+    verdict = F.upper(F.trim(F.element_at("c", -1)))
+    call = F.when(verdict == "Y", "CHIMERA").when(verdict == "N", "PASS").otherwise("INDETERMINATE")
+    rows = lines.select(cells.alias("c")).filter((F.size("c") >= 2) & (cell(1) != ""))
+    return rows.select(cell(1).alias("id"), call.alias("call"), F.trim(cell(0)).try_cast("double").alias("score"), cell(2).alias("left_parent"), cell(3).alias("right_parent"))
+
+
+def chimera_report(queries: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row per query (id) with its verdict; a query that the table doesn't hold is INDETERMINATE."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return queries.select("id").join(parsed, "id", "left").select("id", F.coalesce("call", F.lit("INDETERMINATE")).alias("call"), "score", blank("left_parent"), blank("right_parent"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from isolark.operators import hits as H
 from isolark.plans.bindings import view
 from isolark.registry import query
 from isolark.session import shared_folder
@@ -23,6 +24,23 @@ def scan_fasta(spark, sf):
     return files.read_fasta(spark, path).select("record_id", F.md5("sequence").alias("digest"))
 
 
+_VERDICT = "CASE seq_no % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'n ' WHEN 2 THEN '?' ELSE 'N' END"
+
+
+@query(
+    "scan_chimera_table",
+    f"""
+WITH t AS (SELECT id, CASE WHEN seq_no % 7 > 0 THEN seq_no % 50 / 8e0 END AS score, CASE upper(trim({_VERDICT})) WHEN 'Y' THEN 'CHIMERA' WHEN 'N' THEN 'PASS' ELSE 'INDETERMINATE' END AS call FROM {{taxa}} WHERE seq_no % 5 > 0)
+SELECT x.id, coalesce(t.call, 'INDETERMINATE') AS call, t.score, CASE WHEN t.id IS NULL THEN '' ELSE concat(x.id, 'a') END AS left_parent, CASE WHEN t.id IS NULL THEN '' ELSE x.dataset END AS right_parent FROM {{taxa}} x LEFT JOIN t USING (id)""",
+)
+def scan_chimera_table(spark, sf):
+    path, taxa = _folder(spark), view(spark, sf, "taxa")
+    score = F.when(F.col("seq_no") % 7 > 0, (F.col("seq_no") % 50 / 8.0).cast("string")).otherwise("*")
+    line = F.concat_ws("\t", score, "id", F.concat("id", F.lit("a")), "dataset", F.lit("filler"), F.expr(_VERDICT))
+    taxa.filter("seq_no % 5 > 0").select(line.alias("value")).unionByName(taxa.filter("seq_no % 10 = 0").select(F.lit("0.5\t\tlost").alias("value"))).write.text(path)
+    return H.chimera_report(taxa, files.read_chimera_table(spark, path))
+
+
 @query("scan_alignment", "SELECT id, md5(replace(upper(regexp_replace(aligned, '[^A-Za-z-]', '', 'g')), 'U', 'T')) AS digest, length(regexp_replace(aligned, '[^A-Za-z-]', '', 'g')) AS width FROM {aligned} WHERE aligned IS NOT NULL")
 def scan_alignment(spark, sf):
     path = _folder(spark)

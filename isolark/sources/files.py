@@ -254,6 +254,13 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return parse_hit_lines(spark.read.text(path))
 
 
+def read_chimera_table(spark: SparkSession, path: str) -> DataFrame:
+    """Score-first chimera tables as typed calls."""
+    from isolark.operators.hits import parse_chimera_lines
+
+    return parse_chimera_lines(spark.read.text(path))
+
+
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     """Attribute table: the first column is the id, the others stay text."""
     sep = "\t" if path.endswith((".tsv", ".txt", ".tsv.gz", ".txt.gz")) else ","

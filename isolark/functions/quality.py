@@ -261,8 +261,11 @@ def read_info(name) -> Column:
     )
 
 
-def read_qc(df_policy: ReadPolicy = POLICY, allow_missing_quality: bool = False) -> dict[str, Column]:
-    """QC class and ordered reasons from columns length, mean_q, expected_errors, n_percent, run, mixed, quality_source."""
+def read_qc(df_policy: ReadPolicy = POLICY, allow_missing_quality: bool = False, traced: Column | None = None) -> dict[str, Column]:
+    """QC class and ordered reasons from columns length, mean_q, expected_errors, n_percent, run, mixed, quality_source.
+
+    ``traced`` tells whether a chromatogram read came with its dye channels; without it nothing is said about them.
+    """
     p = df_policy
     n, mean_q, ee = F.col("length"), F.col("mean_q"), F.col("expected_errors")
     n_pct, run, mixed, source = F.col("n_percent"), F.col("run"), F.col("mixed_peak_percent"), F.col("quality_source")
@@ -282,6 +285,7 @@ def read_qc(df_policy: ReadPolicy = POLICY, allow_missing_quality: bool = False)
     warns = F.array(
         F.when(unverified, "quality_scores_unavailable_fasta_not_assumed"),
         F.when(missing, F.concat(F.lit("quality_scores_missing_allowed_"), source)) if allow_missing_quality else F.lit(None).cast("string"),
+        F.when(F.startswith(source, F.lit("ab1_")) & ~F.coalesce(traced, F.lit(False)), "chromatogram_trace_channels_unavailable") if traced is not None else F.lit(None).cast("string"),
         F.when((mixed <= p.max_mixed_peak_percent) & (mixed > max(1.0, p.max_mixed_peak_percent / 2)), F.format_string("mixed_peak_percent_%.2f", mixed)),
         F.when((n_pct <= p.max_n_percent) & (n_pct > p.warn_n_percent), f"n_percent_gt_{p.warn_n_percent:g}"),
         F.when(~run_fails & (run > p.warn_internal_low_quality_run), f"internal_low_quality_run_gt_{p.warn_internal_low_quality_run}"),

@@ -73,20 +73,19 @@ def expected_errors(spark, sf):
     )
 
 
-@query(
-    "read_qc",
-    f"""
+_READ_QC = f"""
 WITH {_ARR}, w AS (SELECT *, {_WEAK} AS wk, quality_source NOT IN ('ab1_missing_pcon', 'fasta_quality_unverified') AS ver FROM arr),
 m AS (SELECT *, length(sequence) AS n, list_avg(qs) AS mq, list_sum(list_transform(range(1, len(bs) + 1), lambda i: CASE WHEN list_contains(['A','C','G','T'], bs[i]) THEN pow(10.0::double, -qs[i] / 10.0::double) ELSE 0 END)) AS ee,
   100.0::double * (length(sequence) - length(replace(sequence, 'N', ''))) / length(sequence) AS np, {_RUN} AS run FROM w),
 r AS (SELECT *, concat_ws(';', CASE WHEN quality_source = 'ab1_missing_pcon' THEN 'quality_scores_missing_ab1_missing_pcon' END, CASE WHEN mixed_peak_percent > 15 THEN 'mixed_peak_percent_gt_15' END, CASE WHEN n < 300 THEN 'trimmed_length_lt_300' END,
     CASE WHEN ver AND n > 0 AND mq < 20 THEN 'mean_q_lt_20' END, CASE WHEN ver AND ee > 8 THEN 'expected_errors_gt_8' END, CASE WHEN np > 5 THEN 'n_percent_gt_5' END, CASE WHEN ver AND run > 20 THEN 'internal_low_quality_run_gt_20' END) AS f,
-  concat_ws(';', CASE WHEN quality_source = 'fasta_quality_unverified' THEN 'quality_scores_unavailable_fasta_not_assumed' END, CASE WHEN mixed_peak_percent <= 15 AND mixed_peak_percent > 7.5 THEN printf('mixed_peak_percent_%.2f', mixed_peak_percent) END,
+  concat_ws(';', CASE WHEN quality_source = 'fasta_quality_unverified' THEN 'quality_scores_unavailable_fasta_not_assumed' END, @trace@CASE WHEN mixed_peak_percent <= 15 AND mixed_peak_percent > 7.5 THEN printf('mixed_peak_percent_%.2f', mixed_peak_percent) END,
     CASE WHEN np <= 5 AND np > 3 THEN 'n_percent_gt_3' END, CASE WHEN NOT (ver AND run > 20) AND run > 5 THEN 'internal_low_quality_run_gt_5' END) AS wn FROM m)
-SELECT read_id, CASE WHEN f <> '' THEN 'FAIL_QC' WHEN wn <> '' THEN 'PASS_WITH_WARNINGS' ELSE 'PASS_HIGH_CONFIDENCE' END AS qc_class, concat_ws(';', nullif(f, ''), nullif(wn, '')) AS reasons FROM r""",
-)
-def read_qc(spark, sf):
-    rows = _reads(spark, sf).withColumns(
+SELECT read_id, CASE WHEN f <> '' THEN 'FAIL_QC' WHEN wn <> '' THEN 'PASS_WITH_WARNINGS' ELSE 'PASS_HIGH_CONFIDENCE' END AS qc_class, concat_ws(';', nullif(f, ''), nullif(wn, '')) AS reasons FROM r"""
+
+
+def _measured(spark, sf):
+    return _reads(spark, sf).withColumns(
         {
             "length": F.length("sequence"),
             "mean_q": Q.mean_quality("qualities"),
@@ -94,7 +93,19 @@ def read_qc(spark, sf):
             "n_percent": 100.0 * (F.length("sequence") - F.length(F.replace("sequence", F.lit("N"), F.lit("")))) / F.length("sequence"),
             "run": Q.longest_run(Q.weak_flags("sequence", "qualities")),
         }
-    ).withColumns(Q.read_qc())
+    )
+
+
+@query("read_qc", _READ_QC.replace("@trace@", ""))
+def read_qc(spark, sf):
+    rows = _measured(spark, sf).withColumns(Q.read_qc())
+    return rows.select("read_id", "qc_class", F.array_join("qc_reasons", ";").alias("reasons"))
+
+
+@query("read_qc_traced", _READ_QC.replace("@trace@", "CASE WHEN starts_with(quality_source, 'ab1_') AND length(sequence) % 3 = 0 THEN 'chromatogram_trace_channels_unavailable' END, "))
+def read_qc_traced(spark, sf):
+    """As read_qc, for reads of which every third length comes without dye channels."""
+    rows = _measured(spark, sf).withColumns(Q.read_qc(traced=F.length("sequence") % 3 > 0))
     return rows.select("read_id", "qc_class", F.array_join("qc_reasons", ";").alias("reasons"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from isolark.functions import quality as Q
-from isolark.operators import reads as R
+from isolark.operators import assembly, reads as R
 
 
 def test_prepared_reads_walk_over_the_bases_a_few_times(spark):
@@ -17,3 +17,15 @@ def test_prepared_reads_walk_over_the_bases_a_few_times(spark):
         assert plan.count("aggregate(") <= 12
     trimmed = rows.select(F.when(F.col("quality_source") != "none", Q.mott_trim("sequence", "qualities")))
     assert trimmed._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
+def test_pairs_aligned_together_are_aligned_as_alone():
+    pairs = [("", "ACGT"), ("ACGTNACGTAAC", "TACGTAACGGGT"), ("A", ""), ("GGGGACGTACGTTTGACCA", "ACGTACGTTGACCATT"), ("AAAA", "AAAA"), ("ACGT" * 40, "GT" + "ACGT" * 30)]
+    alone = [assembly.align(*p) for p in pairs]
+    for cells in (1, 1 << 12, 1 << 22):
+        assembly.CELLS = cells
+        assert [[tuple(x) for x in places.tolist()] for places in assembly.align_many(pairs)] == alone
+    for (a, b), places in zip(pairs, alone, strict=True):
+        assert [i for i, _ in places if i >= 0] == list(range(len(a))) and [j for _, j in places if j >= 0] == list(range(len(b)))
+        paired = [(a[i], b[j]) for i, j in places if i >= 0 and j >= 0]
+        assert len(paired) >= min(len(a), len(b)) // 2

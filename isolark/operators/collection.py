@@ -172,7 +172,11 @@ def last_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no") -> DataFrame:
-    """Unique compact ids: losers of a collision try again with the next attempt number."""
+    """Unique compact ids: losers of a collision try again with the next attempt number.
+
+    What is settled meets every attempt, so it is never broadcast: the driver would
+    gather all ids once per attempt.
+    """
     from isolark.session import cut_lineage
 
     pending = cut_lineage(records.select(header, order))
@@ -182,13 +186,13 @@ def short_ids(records: DataFrame, header: str = "header", order: str = "seq_no")
     for attempt in attempts():
         tries = pending.withColumn("short_id", I.short_id(header, F.lit(attempt)))
         if done is not None:
-            free = tries.join(done.select("short_id"), "short_id", "left_anti")
+            free = tries.join(done.select("short_id").hint("merge"), "short_id", "left_anti")
         else:
             free = tries
         won = free.groupBy("short_id").agg(F.min_by(F.struct(header, order), order).alias("w"))
         won = won.select("short_id", F.col(f"w.{header}").alias(header), F.col(f"w.{order}").alias(order))
         done = cut_lineage(won if done is None else done.unionByName(won))
-        pending = cut_lineage(pending.join(done.select(order), order, "left_anti"))
+        pending = cut_lineage(pending.join(done.select(order).hint("merge"), order, "left_anti"))
         if pending.isEmpty():
             return done
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from isolark import session
 from isolark.functions import quality as Q
-from isolark.operators import assembly, reads as R
+from isolark.operators import assembly, collection, reads as R
 
 
 def test_prepared_reads_walk_over_the_bases_a_few_times(spark):
@@ -29,3 +30,16 @@ def test_pairs_aligned_together_are_aligned_as_alone():
         assert [i for i, _ in places if i >= 0] == list(range(len(a))) and [j for _, j in places if j >= 0] == list(range(len(b)))
         paired = [(a[i], b[j]) for i, j in places if i >= 0 and j >= 0]
         assert len(paired) >= min(len(a), len(b)) // 2
+
+
+def test_settled_short_ids_are_never_gathered_by_the_driver(spark, monkeypatch):
+    cut, plans = session.cut_lineage, []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(session, "cut_lineage", seen)
+    ids = collection.short_ids(spark.range(3000).select(F.col("id").alias("seq_no"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("header")))
+    assert ids.select("short_id").distinct().count() == 3000
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)

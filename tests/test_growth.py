@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from isolark import session
-from isolark.functions import quality as Q
+from isolark.functions import quality as Q, taxonomy as T
 from isolark.operators import assembly, collection, reads as R
 
 
@@ -43,3 +43,9 @@ def test_settled_short_ids_are_never_gathered_by_the_driver(spark, monkeypatch):
     ids = collection.short_ids(spark.range(3000).select(F.col("id").alias("seq_no"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("header")))
     assert ids.select("short_id").distinct().count() == 3000
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_lineage_is_split_once(spark):
+    rows = spark.createDataFrame([("d__A;g__x;g__ 'y  z' ;s__",), (None,), ("",)], "t string").select(T.lineage_map("t").alias("m"))
+    assert [r.m for r in rows.collect()] == [{"d": "A", "g": "y z"}, {}, {}]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

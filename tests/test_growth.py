@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from isolark import session
 from isolark.functions import quality as Q, taxonomy as T
-from isolark.operators import assembly, collection, reads as R
+from isolark.operators import assembly, collection, reads as R, reporting
 
 
 def test_prepared_reads_walk_over_the_bases_a_few_times(spark):
@@ -49,3 +49,9 @@ def test_a_lineage_is_split_once(spark):
     rows = spark.createDataFrame([("d__A;g__x;g__ 'y  z' ;s__",), (None,), ("",)], "t string").select(T.lineage_map("t").alias("m"))
     assert [r.m for r in rows.collect()] == [{"d": "A", "g": "y z"}, {}, {}]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_pair_is_compared_once(spark):
+    rows = spark.createDataFrame([("ACGT-N", "ACCTAA"), ("--", "AC"), (None, "A")], "a string, b string").select(reporting.msa_identity("a", "b").alias("m")).select("m.identity", "m.compared")
+    assert [tuple(r) for r in rows.collect()][:2] == [(75.0, 4), (None, 0)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 1

@@ -1,10 +1,12 @@
 """Work that must not be repeated, so that it grows no faster than the input."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from isolark import session
 from isolark.functions import quality as Q, taxonomy as T
 from isolark.operators import assembly, collection, reads as R, reporting
+from isolark.streaming import live
 
 
 def test_prepared_reads_walk_over_the_bases_a_few_times(spark):
@@ -55,3 +57,28 @@ def test_a_pair_is_compared_once(spark):
     rows = spark.createDataFrame([("ACGT-N", "ACCTAA"), ("--", "AC"), (None, "A")], "a string, b string").select(reporting.msa_identity("a", "b").alias("m")).select("m.identity", "m.compared")
     assert [tuple(r) for r in rows.collect()][:2] == [(75.0, 4), (None, 0)]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 1
+
+
+def test_isolates_of_a_shard_are_told_in_one_call():
+    class State:
+        exists, get, wake = False, None, None
+
+        def getCurrentWatermarkMs(self):
+            return self.reached
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.wake = at
+
+    state = State()
+    rows = pd.DataFrame({"id": [f"i{k % 500}" for k in range(1000)], "at": [1000 - k // 500 for k in range(1000)], "line": range(1000), "status": ["A" if k < 500 else "B" for k in range(1000)], "detail": ""})
+    state.reached = 0
+    assert list(live._transitions(None, (7,), iter([rows]), state)) == [] and state.wake == 999
+    state.reached = 999
+    [early] = live._transitions(None, (7,), iter([]), state)
+    state.reached = 5000
+    [late] = live._transitions(None, (7,), iter([]), state)
+    assert len(early) == len(late) == 500 and set(early["status"]) == {"B"} and early["old_status"].isna().all()
+    assert set(late["old_status"]) == {"B"} and set(late["status"]) == {"A"} and set(late["id"]) == set(early["id"])

@@ -1,11 +1,14 @@
 """Work that must not be repeated, so that it grows no faster than the input."""
 
+import random
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from isolark import session
 from isolark.functions import quality as Q, taxonomy as T
-from isolark.operators import assembly, collection, reads as R, reporting
+from isolark.operators import assembly, bitplanes, collection, reads as R, reporting
 from isolark.streaming import live
 
 
@@ -82,3 +85,15 @@ def test_isolates_of_a_shard_are_told_in_one_call():
     [late] = live._transitions(None, (7,), iter([]), state)
     assert len(early) == len(late) == 500 and set(early["status"]) == {"B"} and early["old_status"].isna().all()
     assert set(late["old_status"]) == {"B"} and set(late["status"]) == {"A"} and set(late["id"]) == set(early["id"])
+
+
+def test_blocks_of_one_group_are_compared_by_many_tasks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"i{k:03}", "".join(rng.choice("ACGT-") for _ in range(40))) for k in range(90)]
+    df = spark.createDataFrame(rows, "id string, aligned string").withColumn("grp", F.lit("one")).coalesce(1)
+    whole = sorted(bitplanes.nearest_in_group(df, df, "grp").collect())
+    monkeypatch.setattr(bitplanes, "SPAN", 2)
+    many = df.repartition(18)  # a task makes its own blocks
+    out = bitplanes.nearest_in_group(many, many, "grp")
+    parts = re.findall(r"hashpartitioning\(grp#\d+, l_at#\d+L?, r_at#\d+L?, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert {int(n) for n in parts} == {81} and sorted(out.collect()) == whole and len(whole) == 90

@@ -36,19 +36,53 @@ def _distance_to_pick() -> Column:
     return F.col("leaf_dist") + F.col("p_dist") - 2.0 * fork
 
 
+def contenders(candidates: DataFrame, anchors: DataFrame, closed: DataFrame, size: int, maximise: bool) -> DataFrame:
+    """``candidates`` with their start ``spread``, without those that ``size`` farthest-first picks of a group can't reach.
+
+    Of the members of one leaf the first ``size`` by evidence can be picked. Leaves
+    that hang on one parent by the same branch have the same distance to all
+    others and to each other, so of those with the same start the first ``size``
+    by evidence can. Where no anchor stands on them, a longer branch means a larger
+    distance throughout, so that ``size`` clearly longer ones leave a leaf no turn;
+    only while there is no distance at all evidence alone decides.
+    """
+    order = F.desc if maximise else F.asc
+    up = closed.filter("hops = 1").select(F.col("node_id").alias("leaf"), F.col("ancestor_id").alias("parent"))
+    inner = up.select(F.col("parent").alias("leaf"), F.lit(True).alias("inner")).distinct()
+    place = root_depth(closed).select(F.col("node_id").alias("leaf"), "root_dist").join(up, "leaf", "left").join(inner, "leaf", "left")
+    # What hangs below an inner node is nearer to it than to its siblings.
+    place = place.select("leaf", "root_dist", F.when(F.col("inner"), F.col("leaf")).otherwise(F.coalesce("parent", "leaf")).alias("twin"))
+    start = nearest_marked(candidates, anchors, closed, "grp", exclude_self=not maximise).withColumnRenamed("distance", "spread")
+    marked = anchors.select("grp", "leaf", F.lit(True).alias("marked")).distinct()
+    own = Window.partitionBy("grp", "leaf").orderBy(order("evidence"))
+    rows = candidates.select("grp", "id", "leaf", "evidence").withColumns({"_n": F.row_number().over(own), "_lead": F.first("evidence").over(own)}).filter(F.col("_n") <= size)
+    rows = rows.join(place, "leaf", "left").join(start, ["grp", "leaf"], "left").join(marked, ["grp", "leaf"], "left")
+    twins = Window.partitionBy("grp", "twin", "root_dist", "spread", "marked").orderBy(order("_lead"))
+    rows = cut_lineage(rows.withColumn("_t", F.dense_rank().over(twins)).filter(F.col("_t") <= size))
+    # Length of the branch that ``size`` leaves of the parent reach, of those that no anchor stands on.
+    longest = Window.partitionBy("grp", "twin").orderBy(F.desc("root_dist"), "leaf")
+    free = rows.filter("_n = 1 and marked is null and twin is not null")
+    least = free.withColumn("_r", F.row_number().over(longest)).filter(F.col("_r") == size).select("grp", "twin", F.col("root_dist").alias("least"))
+    first = Window.partitionBy("grp", "twin", F.col("spread").isNull(), "marked").orderBy(order("_lead"))
+    rows = rows.join(least, ["grp", "twin"], "left").withColumn("_e", F.dense_rank().over(first))
+    near = F.col("root_dist") >= F.col("least") - (F.col("least") + 1.0) * 1e-9
+    kept = F.col("marked").isNotNull() | F.col("least").isNull() | near | (F.col("spread").isNull() & (F.col("_e") <= size))
+    return rows.filter(kept).select("grp", "id", "leaf", "evidence", "spread")
+
+
 class FarthestFirst:
-    """Picks one more member of every group per step, all groups in parallel.
+    """Picks one more member of every group per step, all groups in parallel, at most ``size``.
 
     One step is a partially aggregated arg-max per group and one join of the
     group's pick back to its candidates; a group of any size is never gathered.
+    Steps walk over :func:`contenders` only, whose number the size of the tree's
+    inner part bounds.
     """
 
-    def __init__(self, candidates: DataFrame, anchors: DataFrame, closed: DataFrame, maximise: bool):
+    def __init__(self, candidates: DataFrame, anchors: DataFrame, closed: DataFrame, maximise: bool, size: int):
         self.maximise = maximise
-        start = nearest_marked(candidates, anchors, closed, "grp", exclude_self=not maximise)
-        paths = leaf_paths(closed, candidates)
-        rows = candidates.join(paths, "leaf", "left").join(start.withColumnRenamed("distance", "spread"), ["grp", "leaf"], "left")
-        self.state = cut_lineage(rows.select("grp", "id", "leaf", "path", "leaf_dist", "evidence", "spread"))
+        rows = cut_lineage(contenders(candidates, anchors, closed, size, maximise))
+        self.state = cut_lineage(rows.join(leaf_paths(closed, rows), "leaf", "left").select("grp", "id", "leaf", "path", "leaf_dist", "evidence", "spread"))
         self.picks: DataFrame | None = None
         self.step = 0
 
@@ -82,7 +116,7 @@ class FarthestFirst:
 
 def diversity_panel(candidates: DataFrame, anchors: DataFrame, closed: DataFrame, size: int = scores.PANEL_SIZE) -> DataFrame:
     """Farthest-first ranks 1..size per group of (grp, id, leaf, evidence)."""
-    walk = FarthestFirst(candidates, anchors, closed, maximise=True)
+    walk = FarthestFirst(candidates, anchors, closed, maximise=True, size=size)
     for _ in range(size):
         walk.advance()
     return walk.picks.select("grp", "id", "rank", F.round("spread", 6).alias("spread"))
@@ -279,8 +313,10 @@ def budgeted_round(rows: DataFrame, anchors: DataFrame, counts: DataFrame, close
     order of ``best``; one top-``budget`` sort replaces the sequential loop.
     Groups advance together until none of them could contribute a further pick.
     """
-    walk = FarthestFirst(rows.select("grp", "id", "leaf", round_evidence().alias("evidence")), anchors, closed, maximise=False)
-    closeness = rows.select("grp", "id", "nearest_genome_identity")
+    # Read in every round of the loop below.
+    rows, anchors, counts = cut_lineage(rows), cut_lineage(anchors), cut_lineage(counts)
+    walk = FarthestFirst(rows.select("grp", "id", "leaf", round_evidence().alias("evidence")), anchors, closed, maximise=False, size=budget)
+    closeness = cut_lineage(rows.select("grp", "id", "nearest_genome_identity").join(walk.state.select("grp", "id"), ["grp", "id"], "left_semi"))
     running = Window.partitionBy("grp").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     upto = 1
     while True:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isolark import session
 from isolark.functions import quality as Q, taxonomy as T
-from isolark.operators import assembly, bitplanes, collection, reads as R, reporting
+from isolark.operators import assembly, bitplanes, collection, reads as R, reporting, selection, trees
 from isolark.streaming import live
 
 
@@ -87,6 +87,34 @@ def test_isolates_of_a_shard_are_told_in_one_call():
     assert set(late["old_status"]) == {"B"} and set(late["status"]) == {"A"} and set(late["id"]) == set(early["id"])
 
 
+def test_picks_walk_over_what_can_be_picked(spark):
+    """Few parents with many leaves: what is left doesn't grow with the leaves, and the picks are those of the plain loop."""
+    rng = random.Random(5)
+    nodes = [("root", None, 0.0, False), *((f"v{i}", "root", (i + 1) / 4, False) for i in range(3))]
+    rows = []
+    for k in range(240):
+        nodes.append((f"L{k:03}", f"v{k % 3}", rng.randint(1, 4) / 8, True))
+        rows.append((f"g{k % 2}", f"i{k:03}", rng.choice([f"L{k:03}", f"L{k - k % 5:03}", "none"]), rng.randint(0, 3)))
+    anchors = [("g0", "L000"), ("g0", "L007"), ("g0", "L030")]
+    above = {n: (p, b) for n, p, b, _ in nodes}
+    far = lambda a, b: 0.0 if a == b else above[a][1] + above[b][1] + (above[above[a][0]][1] + above[above[b][0]][1] if above[a][0] != above[b][0] else 0.0)
+    closed = trees.closure(spark.createDataFrame(nodes, "node_id string, parent_id string, branch_length double, is_leaf boolean"))
+    held = spark.createDataFrame(rows, "grp string, id string, leaf string, e int").select("grp", "id", "leaf", F.struct("e", "id").alias("evidence"))
+    marks = spark.createDataFrame(anchors, "grp string, leaf string")
+    assert selection.contenders(held, marks, closed, 4, True).count() < 120
+    want = []
+    for g in ("g0", "g1"):
+        chosen, left = [leaf for h, leaf in anchors if h == g], [r for r in rows if r[0] == g]
+        for rank in range(1, 5):
+            near = lambda r: min((far(r[2], c) for c in chosen), default=None) if r[2] != "none" else None  # noqa: B023, E731
+            best = max(left, key=lambda r: (near(r) is not None, near(r) or 0.0, r[3], r[1]))
+            want.append((g, best[1], rank, near(best)))
+            left.remove(best)
+            chosen += [best[2]] if best[2] != "none" else []
+    got = selection.diversity_panel(held, marks, closed, 4).collect()
+    assert sorted((r.grp, r.id, r["rank"], r.spread) for r in got) == sorted(want)
+
+
 def test_blocks_of_one_group_are_compared_by_many_tasks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(f"i{k:03}", "".join(rng.choice("ACGT-") for _ in range(40))) for k in range(90)]

@@ -9,6 +9,7 @@ from isolark.operators import selection as S, trees
 from isolark.plans.bindings import view
 from isolark.plans.scalar_queries import _FLAGS, _QUALITY
 from isolark.registry import query
+from isolark.session import cut_lineage
 
 _CLOSURE = """
 RECURSIVE_PLACEHOLDER
@@ -223,7 +224,7 @@ def sequencing_sets(spark, sf):
 @query("round_selection")
 def round_selection(spark, sf, budget: int = 24):
     closed, nodes = _closed(spark, sf), view(spark, sf, "tree_nodes")
-    members = S.grouped(view(spark, sf, "assessed"), trees.local_clades(closed, nodes))
+    members = cut_lineage(S.grouped(view(spark, sf, "assessed"), trees.local_clades(closed, nodes)))
     header = S.group_header(members)
     rows = S.gated(members, header, include_moderate=False).filter("gate = 'ELIGIBLE'")
     anchors = members.filter(F.col("available") | F.col("selected")).select("grp", "leaf")

@@ -13,7 +13,7 @@ what one replay over the whole corpus would.
 from __future__ import annotations
 
 import heapq
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 
@@ -206,14 +206,20 @@ class Memo:
             self.values = self.values[: self.offsets[-1]].copy()
             self.size = self.cost(self.index) + 4 * len(self.values)
 
+    def places(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The number of each chunk, where it has none yet (-1), and the distinct chunks without one."""
+        codes = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(codes < 0)
+        return codes, missing, list(dict.fromkeys(map(flat.__getitem__, missing.tolist())))
+
     def __call__(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other and how many each text has."""
         flat = list(chain.from_iterable(cut))
-        fresh = list(set(flat) - self.index.keys())
+        codes, missing, fresh = self.places(flat)
         own = self.cost(fresh)
         if self.size + own > self.limit:
             self.trim(self.limit // 2)
-            fresh = list(set(flat) - self.index.keys())
+            codes, missing, fresh = self.places(flat)
             own = self.cost(fresh)
         if fresh:
             values, offsets = self.encode(fresh)
@@ -221,7 +227,7 @@ class Memo:
             self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
             self.values = np.concatenate([self.values, values])
             self.size += own + 4 * len(values)
-        codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            codes[missing] = np.fromiter(map(self.index.__getitem__, map(flat.__getitem__, missing.tolist())), np.int64, len(missing))
         ids, lengths = gather(self.values, self.offsets, codes)
         chunks = np.fromiter(map(len, cut), np.int64, len(cut))
         total = np.concatenate([[0], np.cumsum(lengths)])

@@ -18,7 +18,6 @@ empty table gives no pieces.
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +38,16 @@ OPEN_LIMIT = 2048
 FIRST_EXOTIC = "ɐ"
 
 
+def small(text: str) -> str:
+    """``text`` in small letters, if it is of Latin-1 letters alone: the tokenizer makes them small anyhow, and fewer chunks differ."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordTokenizer:
     """Ids as the tokenizer's library gives them, each distinct chunk between blanks encoded once.
 
@@ -67,12 +76,10 @@ class WordTokenizer:
         self.match = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.memo = Memo(self.encode_chunks)
 
-    def normalised(self, chunk: str) -> str:
-        return chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         exotic = [not c.isascii() and max(c) >= FIRST_EXOTIC for c in chunks]
-        plain = [self.normalised(c) for c, e in zip(chunks, exotic, strict=True) if not e]
+        # Below the exotic letters there is nothing to compose, and none whose small form depends on its neighbours.
+        plain = [c.lower() for c, e in zip(chunks, exotic, strict=True) if not e]
         flat, counts = [], []
         for c in plain:
             own = [c] if c.isalpha() else self.match(c)
@@ -96,7 +103,7 @@ class WordTokenizer:
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         special = [any(s in t for s in self.special) for t in batch]
-        values, counts = self.memo([[] if s or not t else t.split(" ") for t, s in zip(batch, special, strict=True)])
+        values, counts = self.memo([[] if s or not t else small(t).split(" ") for t, s in zip(batch, special, strict=True)])
         out = np.split(values, np.cumsum(counts)[:-1]) if batch else []
         for i in np.flatnonzero(special):
             out[i] = np.array(self.library.encode(batch[i], add_special_tokens=False).ids, np.int32)

@@ -311,3 +311,14 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert toxicity.score(odd, untaught).count() == odd.count() and toxicity.score(none, untaught).count() == 0
     assert toxicity.fit(odd, labels.limit(0)) is None
     assert {r.predicted for r in toxicity.score(odd, None).collect()} == {0}
+
+
+def test_packing_looks_each_chunk_up_once_in_small_letters():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(file), packing.WordTokenizer(file)
+    batch = ["Tea tEA TEA tea, Tea,", "ÀB àb Àb µß", "ƀB ƀb İx ǅ", "ΑΣ ΑΣ Tea", "", "日本 TEA K"]
+    for _ in range(2):
+        assert [i.tolist() for i in own(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert {"tea", "tea,", "àb"} <= own.memo.index.keys() and not {"TEA,", "tEA", "ÀB"} & own.memo.index.keys()
+    every = "".join(map(chr, range(32, 0x250)))
+    assert own([every])[0].tolist() == library.encode(every, add_special_tokens=False).ids

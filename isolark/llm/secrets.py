@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isolark.llm.common import blocks, code_points, map_batches, runs, texts
+from isolark.llm.common import blocks, code_points, learned, map_batches, runs, texts
 
 # The kinds in their order, and the least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -103,7 +104,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
     order = F.xxhash64("doc_id")
     # Ids are drawn before any text is moved.
     drawn = source.where(F.col("text").rlike(hint)).select("doc_id").orderBy(order).limit(sample // 2).union(source.select("doc_id").orderBy(order).limit(sample - sample // 2))
-    rows = source.where(F.col("doc_id").isin([r[0] for r in drawn.distinct().collect()])).select("text").toLocalIterator()
+    rows = source.where(F.col("doc_id").isin([r[0] for r in drawn.distinct().collect()])).select("text")
+    return learned(rows, ratio_of, "text")
+
+
+def ratio_of(rows: Iterable[tuple[str]]) -> np.ndarray:
+    """The log-likelihood ratio that the secrets and the other words of ``rows`` give."""
     random, ordinary = Markov(), Markov()
     for (text,) in rows:
         spans = base_spans(text)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isolark.llm.common import blocks, held_out, learnable, map_batches, texts
+from isolark.llm.common import blocks, held_out, learnable, learned, map_batches, texts
 from isolark.llm.language import balanced
 
 TOXIC_DOCS, ORDINARY_DOCS = 1000, 2000
@@ -188,11 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, ordina
     shares = {v: min(1.0, wanted / counts[v]) for v, wanted in ((0, ordinary_docs), (1, toxic_docs)) if counts.get(v)}
     if len(shares) < 2:
         return None
-    # The labels are drawn first, so few texts are joined and none but the drawn ones reach the driver.
+    # The labels are drawn first, so no texts but the drawn ones are moved.
     drawn = balanced(known.where("label = 1"), "label", toxic_docs, toxic_docs).union(balanced(known.where("label = 0"), "label", ordinary_docs, ordinary_docs))
     ids = {r["doc_id"]: r["label"] for r in drawn.collect()}
-    rows = texts(docs, "doc_id").where(F.col("doc_id").isin(list(ids))).orderBy("doc_id", "text").toLocalIterator()
-    return train([(r["text"], ids[r["doc_id"]]) for r in rows], shares)
+    sample = texts(docs, "doc_id").where(F.col("doc_id").isin(list(ids)))
+    return learned(sample, lambda rows: train([(text, ids[doc_id]) for doc_id, text in rows], shares), "doc_id", "text")
 
 
 def _score(model: Model | None, threshold: float):

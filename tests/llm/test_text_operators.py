@@ -11,7 +11,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from isolark.llm import byte_bpe, exact_dedup, language, packing, pii, queries, secrets, token_counts, toxicity
+from isolark.llm import byte_bpe, common, exact_dedup, language, packing, pii, queries, secrets, token_counts, toxicity
 from isolark.llm.merge_replay import lockstep, replay
 from isolark.llm.tagger import Tagger
 
@@ -313,6 +313,21 @@ def test_toxicity_on_held_out_documents(spark, odd, none):
     assert {r.predicted for r in toxicity.score(odd, None).collect()} == {0}
 
 
+def test_models_are_learned_without_texts_on_the_driver(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} {'vile scum' if i % 3 == 0 else 'mild tea'} password=x{i * 7919:08x}Zq{i}" if i % 11 else None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    frame, seen = type(docs), []
+    for name in ("collect", "toLocalIterator", "toPandas", "first"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: (seen.append(self.columns), f(self, *a, **b))[1])
+    model, ratio = toxicity.fit(docs, labels), secrets.fit(docs)
+    assert seen and not any("text" in columns for columns in seen)
+    learn = {r["doc_id"] for r in docs.where(common.learnable()).select("doc_id").collect()}
+    plain = toxicity.train([(t or "", int(i % 3 == 0)) for i, t in rows if i in learn], {0: 1.0, 1: 1.0})
+    assert (model.ordinary, model.toxic) == (plain.ordinary, plain.toxic) and model.weights.tolist() == plain.weights.tolist()
+    assert (ratio == secrets.ratio_of([(t or "",) for _, t in rows])).all() and secrets.fit(docs.limit(0)).shape == (66, 65)
+
+
 def test_packing_looks_each_chunk_up_once_in_small_letters():
     file = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(file), packing.WordTokenizer(file)

@@ -77,3 +77,35 @@ def test_fragments_are_prepared_oriented_and_extended(spark, turns):
     assert len(placed) == 12 and {r["read_id"] for r in placed if r["contributes"]} == kept
     pairs = {r["sequence_id"] for r in read_queries.overlap_pairs(spark, turns).collect()}
     assert pairs == {"FI1_0", "FI1_1"}
+
+
+def test_every_isolate_that_fails_is_in_the_manifest(spark):
+    from isolark.functions.quality import ReadPolicy
+    from isolark.operators import reads as R
+
+    rng = random.Random(7)
+    root = "".join(rng.choice("ACGT") for _ in range(1200))
+    rows = []
+
+    def read(isolate, name, seq, quality=40, mode="", peak=0.0, direction="forward"):
+        rows.append((isolate, name, direction, "unknown", mode, seq, [quality] * len(seq), "fastq", peak))
+
+    read("short", "s1", root[:500]), read("short", "s2", root[300:700])  # assembled, 700 letters
+    read("long", "l1", root[:700]), read("long", "l2", root[500:1200])  # assembled, 1200 letters: passes
+    read("apart", "a1", root[:400]), read("apart", "a2", root[700:1150])
+    read("best", "b1", root[:900], 30, "best read"), read("best", "b2", root[:500], 40, "best read")
+    read("none", "n1", root[:600], 40, peak=40.0), read("none", "n2", root[:500] + "N" * 60 + root[500:560], 40, "assemble", 40.0, "reverse")
+    schema = "sequence_id string, read_id string, direction string, primer string, mode_text string, sequence string, qualities array<int>, quality_source string, mixed_peak_percent double"
+    prepared = R.prepare_reads(spark.createDataFrame(rows, schema))
+    got = {r["sequence_id"]: r for r in R.failure_manifest(prepared).collect()}
+    assert {k: (r["status"], r["reads"], r["kept_reads"], r["output_length"], r["best_recoverable"]) for k, r in got.items()} == {
+        "short": ("filtered_output_length_lt_800", 2, 2, 700, "s1"),
+        "apart": ("filtered_output_length_lt_800", 2, 2, 450, "a2"),
+        "best": ("filtered_output_length_lt_800", 2, 2, 500, "b2"),
+        "none": ("failed_no_reads", 2, 0, 0, "n2"),  # both of quality 40: the longer one
+    }
+    assert got["best"]["mode"] == "best_read" and got["best"]["selected_read"] == "b2" and got["short"]["selected_read"] is None
+    assert got["short"]["reasons"] == "output_length_lt_800" and got["none"]["reasons"] == "no_output_sequence;failed_no_reads;failed_reads_2"
+    assert got["apart"]["reasons"] == "output_length_lt_800;partial_no_overlap;unmerged_primer_reads_1" and {r["recommendation"] for r in got.values()} == {"RESEQUENCE"}
+    strict = {r["sequence_id"] for r in R.failure_manifest(prepared, ReadPolicy(min_final_length=450)).collect()}
+    assert strict == {"apart", "none"}

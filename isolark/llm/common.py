@@ -45,6 +45,19 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def everywhere(blocks: DataFrame, sent: DataFrame, count: int) -> DataFrame:
+    """Every row of ``blocks`` (``count`` of them, numbered by ``block``) beside every row of ``sent`` of its ``dim``.
+
+    Blocks are dealt into buckets, each of which gets ``sent`` once, by a shuffle: copies for all buckets are more than a
+    broadcast holds, though Spark takes them for as small as one. The tasks are costly for their bytes and stay apart.
+    """
+    tasks = max(1, min(count, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = max(1, min(count, 4 * tasks))
+    copies = sent.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    dealt = blocks.withColumn("bucket", F.pmod(F.col("block").cast("long"), F.lit(buckets).cast("long")))
+    return dealt.repartition(tasks, "dim", "bucket").hint("merge").join(copies.repartition(tasks, "dim", "bucket"), ["dim", "bucket"])
+
+
 def learned(sample: DataFrame, fn, *order: str):
     """What ``fn`` makes of an iterator over the rows of a bounded sample, in order; a task works it out, so the driver holds no text."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isolark.llm.common import map_batches
+from isolark.llm.common import everywhere, map_batches
 from isolark.session import cut_lineage
 
 #: Vectors in a block of candidates and of queries.
@@ -143,13 +143,10 @@ def search(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     A query id that several rows carry asks once, with the smallest of their vectors.
     """
     rows = usable(embeddings)
-    numbered = packed(rows, CANDIDATES).withColumn("bucket", F.monotonically_increasing_id())
+    candidates = packed(rows, CANDIDATES).withColumn("block", F.xxhash64(F.monotonically_increasing_id()))
     queries = cut_lineage(rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")))
     asked = packed(queries.repartition(max(1, -(-queries.count() // QUERIES))), QUERIES)
-    # Blocks meet in as many buckets as there are blocks of candidates; every block of queries goes to all of them.
-    buckets = max(1, numbered.count())
-    candidates = numbered.withColumn("bucket", F.pmod(F.xxhash64("bucket"), F.lit(buckets)))
-    sent = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
-    found = map_batches(candidates.join(sent, ["dim", "bucket"]), _tiles(k), "query_id long, vec_id long, score double")
+    sent = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    found = map_batches(everywhere(candidates, sent, candidates.count()), _tiles(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isolark.llm.common import Scratch, map_batches
+from isolark.llm.common import Scratch, everywhere, map_batches
 
 #: Rows in a block of candidates and of anchors, and anchors of a tile that are scored at once.
 ROWS, ANCHORS, SLICE = 4096, 1024, 128
@@ -77,22 +77,26 @@ class Residues:
 
     def scores(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         digits: list[np.ndarray] = []
+        # Sums of a few products fit 32 bits; a difference of floors is quicker than a remainder.
+        kind = np.int32 if not left or left[0].shape[1] <= 64 * DEPTH else np.int64
         for i, p in enumerate(self.primes):
             a, b = left[i], right[i]
-            digit = np.zeros((len(a), len(b)), np.int64)
+            digit = np.zeros((len(a), len(b)), kind)
             for at in range(0, a.shape[1], DEPTH):
-                digit += (a[:, at : at + DEPTH] @ b[:, at : at + DEPTH].T).astype(np.int64)
+                digit += (a[:, at : at + DEPTH] @ b[:, at : at + DEPTH].T).astype(kind)
+            digit -= digit // kind(p) * kind(p)
             for earlier, inverse in zip(digits, self.inverse[i], strict=True):
                 digit -= earlier
-                digit %= p
-                digit *= inverse
-            digit %= p
+                digit -= digit // kind(p) * kind(p)
+                digit *= kind(inverse)
+                digit -= digit // kind(p) * kind(p)
             digits.append(digit)
-        total = np.zeros_like(digits[0]) if digits else np.zeros((0, 0), np.int64)
+        total = np.zeros(digits[0].shape, np.int64) if digits else np.zeros((0, 0), np.int64)
         for p, digit in zip(reversed(self.primes), reversed(digits), strict=True):
             total *= p
             total += digit
-        total[total > self.product // 2] -= self.product
+        # The upper half stands for negative scores: a mask from the sign bit takes the product off there.
+        total -= (self.product // 2 - total) >> 63 & self.product
         return total
 
 
@@ -159,6 +163,30 @@ def best_columns(scores: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np
     return row[found], column[found]
 
 
+class Ranked:
+    """The ``k`` largest entries of a row within a window, for many windows: rows are ordered once, ties with the first columns last."""
+
+    def __init__(self, scores: np.ndarray, k: int, bound: int):
+        self.scores, self.k, self.bound = scores, k, bound
+        self.width = scores.shape[1]
+        self.keys = None
+        if bound < 2**61 // max(1, self.width):  # one key holds score and place
+            self.keys = np.sort(np.where(scores == NONE, NONE, scores * self.width + (self.width - 1 - np.arange(self.width))), axis=1)
+
+    def between(self, rows: np.ndarray, least: np.ndarray, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``rows`` and column of the best entries of each within ``least`` and ``largest``."""
+        if self.keys is None:
+            seen = self.scores[rows]
+            return best_columns(np.where((seen >= least[:, None]) & (seen <= largest[:, None]), seen, NONE), self.k, self.bound)
+        # No score lies outside the bound, so neither need the ends of a window.
+        low, high = (np.clip(x, -self.bound - 1, self.bound + 1) for x in (least, largest))
+        end = np.array([np.searchsorted(self.keys[r], (h + 1) * self.width) for r, h in zip(rows.tolist(), high.tolist(), strict=True)], np.int64)
+        at = end[:, None] - 1 - np.arange(self.k)
+        keys = np.where(at >= 0, self.keys[rows[:, None], np.maximum(at, 0)], NONE)
+        i, j = np.nonzero((keys != NONE) & (keys >= low[:, None] * self.width))
+        return i, self.width - 1 - keys[i, j] % self.width
+
+
 def _tile(row: dict, bound: int):
     """Slices of a tile: (anchor range, scores, labels differ, is another id, ids), candidates by id."""
     ids, labels = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["labels"], "<i8")
@@ -181,7 +209,7 @@ def _positives(k: int, bound: int):
             for row in batch.to_pylist():
                 asked = np.frombuffer(row["a_ids"], "<i8")
                 for part, scores, differs, other, ids in _tile(row, bound):
-                    scores[differs | ~other] = NONE
+                    np.copyto(scores, NONE, where=differs | ~other)
                     i, j = best_columns(scores, k, bound)
                     yield pa.RecordBatch.from_arrays([pa.array(asked[part][i]), pa.array(ids[j]), pa.array(scores[i, j])], ["anchor_id", "positive_id", "positive_score"])
 
@@ -204,13 +232,13 @@ def _negatives(k: int, low: int, high: int, bound: int):
                 least, largest = window_of(reached, low, high)
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 for part, scores, differs, other, ids in _tile(row, bound):
+                    np.copyto(scores, NONE, where=~(differs & other))
+                    ranked = Ranked(scores, k, bound)
                     for turn in range(int(counts[part].max(initial=0))):
                         own = np.flatnonzero(counts[part] > turn)
                         at = starts[:-1][part][own] + turn
-                        seen = scores[own]
-                        seen = np.where((differs & other)[own] & (seen >= least[at, None]) & (seen <= largest[at, None]), seen, NONE)
-                        i, j = best_columns(seen, k, bound)
-                        columns = [asked[part][own[i]], positives[at[i]], np.full(len(i), turn, np.int32), ids[j], reached[at[i]], seen[i, j]]
+                        i, j = ranked.between(own, least[at], largest[at])
+                        columns = [asked[part][own[i]], positives[at[i]], np.full(len(i), turn, np.int32), ids[j], reached[at[i]], scores[own[i], j]]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor_id", "positive_id", "turn", "negative_id", "positive_score", "negative_score"])
 
     return run
@@ -240,12 +268,11 @@ def mine(embeddings: DataFrame, is_anchor: Column, positives: int = 5, negatives
     if bound >= 2**62:
         raise ValueError("scores of these vectors don't fit a long")
     count = max(1, blocks.count())
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block")
     asked = rows.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "vector")).alias("own")).select("vec_id", "own.label", "own.vector")
     anchors = scratch.keep(asked)
 
-    sent = packed(anchors, ANCHORS, scratch).select("dim", F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("vectors").alias("a_vectors"), everywhere)
-    near = map_batches(blocks.join(sent, ["dim", "block"]), _positives(positives, bound), "anchor_id long, positive_id long, positive_score long")
+    sent = packed(anchors, ANCHORS, scratch).select("dim", F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("vectors").alias("a_vectors"))
+    near = map_batches(everywhere(blocks, sent, count), _positives(positives, bound), "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     best = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= positives)
     found = best.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.sort_array(F.collect_list(F.struct("r", "positive_id", "positive_score"))).alias("found"))
@@ -256,8 +283,7 @@ def mine(embeddings: DataFrame, is_anchor: Column, positives: int = 5, negatives
     grouped = chosen.groupBy(F.size("vector").alias("dim"), dealt.alias("_deal")).agg(F.collect_list(F.struct("vec_id", "label", "vector", "found")).alias("rows"))
     lists = grouped.select("dim", *(F.col(f"rows.{a}").alias(b) for a, b in (("vec_id", "ids"), ("label", "labels"), ("vector", "vectors"), ("found", "found"))))
     windows = map_batches(lists, _windows, "dim int, a_ids binary, a_labels binary, a_vectors binary, counts binary, positives binary, reached binary")
-    sent = scratch.keep(windows).select("*", everywhere)
-    far = map_batches(blocks.join(sent, ["dim", "block"]), _negatives(negatives, low, high, bound), "anchor_id long, positive_id long, turn int, negative_id long, positive_score long, negative_score long")
+    far = map_batches(everywhere(blocks, scratch.keep(windows), count), _negatives(negatives, low, high, bound), "anchor_id long, positive_id long, turn int, negative_id long, positive_score long, negative_score long")
     order = Window.partitionBy("anchor_id", "turn").orderBy(F.desc("negative_score"), "negative_id")
     ranked = far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
